@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions.signatures import uint_at
 from flowloom.schema import TCP, UDP
@@ -47,7 +48,7 @@ def ipv4_only(frames: DataFrame) -> DataFrame:
             .filter((F.length("ip") >= 20) & F.hex(F.substring("ip", 1, 1)).rlike("^4[5-9A-F]$")))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def word_sum(data: pd.Series) -> pd.Series:
     """Sum of big-endian 16-bit words; an odd last byte is padded with zero."""
     def one(raw: bytes) -> int:
@@ -66,30 +67,37 @@ def header_word_sum(data: Column, max_bytes: int) -> Column:
 
 
 def ones_complement(total: Column) -> Column:
-    """Fold carries and invert: the checksum of a word sum."""
-    once = total.bitwiseAND(0xFFFF) + F.shiftright(total, 16)
-    twice = once.bitwiseAND(0xFFFF) + F.shiftright(once, 16)
-    return F.lit(0xFFFF) - twice
+    """Checksum of a positive word sum: carries folded, bits inverted."""
+    return F.lit(0xFFFE) - F.pmod(total - 1, F.lit(0xFFFF))
 
 
 def dotted(data: Column, start: int) -> Column:
     return F.concat_ws(".", *[F.conv(F.hex(F.substring(data, start + i + 1, 1)), 16, 10) for i in range(4)])
 
 
-def ip_checksum_ok(ip: Column, header_bytes: Column) -> Column:
-    header = F.substring(ip, F.lit(1), header_bytes)
-    stored = uint_at(ip, 10, 2)
-    return ones_complement(header_word_sum(header, 60) - stored) == stored
+def with_checksums(rows: DataFrame, udp_zero_ok: bool = False) -> DataFrame:
+    """Add both checksum flags to rows of ``header_fields``' working columns.
 
-
-def l4_checksum_ok(src_dst: Column, proto: Column, segment: Column, length: Column, stored: Column,
-                   udp_zero_ok: bool = False) -> Column:
-    """Transport checksum with pseudo-header; null ``stored`` (no TCP or UDP) counts as good."""
-    total = header_word_sum(src_dst, 8) + proto + length + word_sum(segment) - stored
-    expected = ones_complement(total)
-    expected = F.when((proto == UDP) & (expected == 0), 0xFFFF).otherwise(expected)
-    ok = F.when(stored.isNull(), True).otherwise(expected == stored)
-    return F.when((proto == UDP) & (stored == 0), True).otherwise(ok) if udp_zero_ok else ok
+    Sums become columns of their own, so that each is computed once. A packet without
+    a transport checksum counts as good.
+    """
+    c = F.col
+    udp = c("proto") == UDP
+    stored = F.when(c("_tcp"), uint_at(c("_l4"), 16, 2)).when(c("_udp"), uint_at(c("_l4"), 6, 2))
+    length = F.when(c("_total") >= c("_ihl"), c("_total") - c("_ihl")).otherwise(F.length("_l4"))
+    pseudo = header_word_sum(F.substring(c("ip"), 13, 8), 8) + c("proto") + length
+    rows = (rows.withColumn("_ip_stored", uint_at(c("ip"), 10, 2))
+            .withColumn("_l4_stored", stored)
+            .withColumn("_ip_sum", header_word_sum(F.expr("substring(ip, 1, _ihl)"), 60))
+            .withColumn("_l4_sum", pseudo + word_sum(F.when(c("_l4_stored").isNotNull(), c("_l4"))))
+            .withColumn("_l4_want", ones_complement(c("_l4_sum") - c("_l4_stored"))))
+    # A computed UDP checksum of 0 is sent as all ones.
+    l4_ok = (c("_l4_stored").isNull() | (c("_l4_stored") == F.when(udp & (c("_l4_want") == 0), 0xFFFF).otherwise(c("_l4_want"))))
+    if udp_zero_ok:
+        l4_ok = l4_ok | (udp & (c("_l4_stored") == 0))
+    return rows.withColumns({
+        "ip_checksum_ok": ones_complement(c("_ip_sum") - c("_ip_stored")) == c("_ip_stored"),
+        "l4_checksum_ok": l4_ok})
 
 
 def header_fields(frames: DataFrame, udp_zero_ok: bool = False, checksums: bool = True) -> DataFrame:
@@ -130,9 +138,6 @@ def header_fields(frames: DataFrame, udp_zero_ok: bool = False, checksums: bool
            uint_at(c("ip"), 8, 1).cast("int").alias("ttl"),
            payload.alias("payload")]
     if checksums:
-        stored = F.when(c("_tcp"), uint_at(c("_l4"), 16, 2)).when(c("_udp"), uint_at(c("_l4"), 6, 2))
-        length = F.when(c("_total") >= c("_ihl"), c("_total") - c("_ihl")).otherwise(F.length("_l4"))
-        out += [ip_checksum_ok(c("ip"), c("_ihl")).alias("ip_checksum_ok"),
-                l4_checksum_ok(F.substring(c("ip"), 13, 8), c("proto"), c("_l4"), length, stored,
-                               udp_zero_ok).alias("l4_checksum_ok")]
+        rows = with_checksums(rows, udp_zero_ok)
+        out += [c("ip_checksum_ok"), c("l4_checksum_ok")]
     return rows.select(*out)

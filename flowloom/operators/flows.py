@@ -40,11 +40,10 @@ def slim(packets: DataFrame, registry: dict[int, G.Signature] | None = None,
     """Replace the payload by what the rules need of it, before any shuffle."""
     from flowloom.operators.rules import rule_bits
 
-    return packets.select(
-        *[c for c in packets.columns if c not in ("payload", "ip_checksum_ok", "l4_checksum_ok")],
-        F.length("payload").alias("payload_len"),
-        G.port_signature(F.col("sport"), F.col("dport"), registry).alias("signature"),
-        rule_bits(registry, rules).alias("rule_bits"))
+    named = packets.withColumn("signature", G.port_signature(F.col("sport"), F.col("dport"), registry))
+    return named.select(
+        *[c for c in named.columns if c not in ("payload", "ip_checksum_ok", "l4_checksum_ok")],
+        F.length("payload").alias("payload_len"), rule_bits(registry, rules).alias("rule_bits"))
 
 
 def summarize_flows(packets: DataFrame, key: list[str] | None = None,

@@ -32,10 +32,10 @@ MESSAGES = {
 
 
 def rule_conditions(registry: dict[int, G.Signature] | None = None) -> dict[str, Column]:
-    """Code to condition over packet columns."""
+    """Code to condition over packet columns and ``signature``, the name expected on the ports."""
     flags, payload, tcp = F.col("flags"), F.col("payload"), F.col("proto") == TCP
     syn = G.has_flag(flags, "S")
-    name = G.port_signature(F.col("sport"), F.col("dport"), registry)
+    name = F.col("signature")
     filled = F.length(payload) > 0
     matches = F.coalesce(G.signature_matches(name, payload, registry), F.lit(True))
     return {

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.frames import header_fields
 
 CHUNK_BYTES = 64 << 20
+READ_BUFFER = 4 << 20
 
 # File magic numbers, little-endian view, to (byte order, ticks per second).
 PCAP_MAGIC = {0xA1B2C3D4: ("<", 10**6), 0xD4C3B2A1: (">", 10**6),
@@ -35,15 +36,17 @@ FRAME_SCHEMA = "capture STRING, frame_no BIGINT, ts_us BIGINT, link_type INT, fr
 
 def open_path(path: str) -> BinaryIO:
     """A seekable stream of a file path or of any URI Arrow knows (file, hdfs, s3, gs)."""
+    import io
+    from urllib.parse import unquote, urlparse
+
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
-        return open(path, "rb")
     if path.startswith("file:"):
-        from urllib.parse import unquote, urlparse
-        return open(unquote(urlparse(path).path), "rb")
+        path = unquote(urlparse(path).path)
+    if "://" not in path:
+        return open(path, "rb")
     system, name = fs.FileSystem.from_uri(path)
-    return system.open_input_file(name)
+    return io.BufferedReader(system.open_input_file(name), READ_BUFFER)
 
 
 def _classic_records(f: BinaryIO, at: int, stop: int | None, order: str) -> Iterator[tuple[int, int, int, int, int]]:
