@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.lookups import lookup_join
 from flowloom.operators.ranks import running_sums
+from flowloom.session import materialize
 
 
 # --- row expressions ------------------------------------------------------------------
@@ -86,12 +87,15 @@ def score_counts(scored: DataFrame) -> DataFrame:
                                        F.count_if(F.col("label") == 0).alias("neg"))
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """Mann-Whitney AUC with ties sharing their mean rank; NaN when a class is missing."""
-    ranked = running_sums(score_counts(scored), [], ["score"], ["neg"])
+def _auc() -> Column:
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     p, n = F.sum("pos"), F.sum("neg")
-    return ranked.agg(F.when((p > 0) & (n > 0), wins / (p * n)).otherwise(F.lit(float("nan"))).alias("auc"))
+    return F.when((p > 0) & (n > 0), wins / (p * n)).otherwise(F.lit(float("nan"))).alias("auc")
+
+
+def roc_auc(scored: DataFrame) -> DataFrame:
+    """Mann-Whitney AUC with ties sharing their mean rank; NaN when a class is missing."""
+    return running_sums(score_counts(scored), [], ["score"], ["neg"]).agg(_auc())
 
 
 def average_ranks(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,28 +106,47 @@ def average_ranks(scored: DataFrame, keys: list[str]) -> DataFrame:
     return lookup_join(scored, ranks, ["score"], "m", keys)
 
 
+def _percentile_parts(fractions: dict[str, float], value: str) -> list[Column]:
+    """Aggregates that pick both neighbours of each percentile out of ranked distinct values."""
+    first, past = F.col("m_before"), F.col("m_before") + F.col("m")
+    parts = []
+    for name, f in fractions.items():
+        at = F.lit(f) * (F.col("m_total") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        parts += [F.max(F.when((first <= low) & (low < past), F.col(value))).alias(f"_lo_{name}"),
+                  F.max(F.when((first <= high) & (high < past), F.col(value))).alias(f"_hi_{name}"),
+                  F.max(at - low).alias(f"_f_{name}")]
+    return parts
+
+
+def _percentiles(fractions: dict[str, float]) -> list[Column]:
+    return [(F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * F.col(f"_f_{x}")).alias(x) for x in fractions]
+
+
 def exact_percentiles(scored: DataFrame, fractions: dict[str, float], group: list[str] | None = None,
                       value: str = "score") -> DataFrame:
     """Percentiles with linear interpolation per group, from ranks of distinct values."""
     group = group or []
     counts = scored.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("m"))
     ranked = running_sums(counts, group, [value], ["m"])
-    first, past = F.col("m_before"), F.col("m_before") + F.col("m")
-    aggs = []
-    for name, f in fractions.items():
-        at = F.lit(f) * (F.col("m_total") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        aggs += [F.max(F.when((first <= low) & (low < past), F.col(value))).alias(f"_lo_{name}"),
-                 F.max(F.when((first <= high) & (high < past), F.col(value))).alias(f"_hi_{name}"),
-                 F.max(at - low).alias(f"_f_{name}")]
-    out = ranked.groupBy(*group).agg(F.max("m_total").alias("n"), *aggs)
-    return out.select(*group, "n", *[
-        (F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * F.col(f"_f_{x}")).alias(x) for x in fractions])
+    out = ranked.groupBy(*group).agg(F.max("m_total").alias("n"), *_percentile_parts(fractions, value))
+    return out.select(*group, "n", *_percentiles(fractions))
+
+
+# The percentiles of the score spread.
+SPREAD = {"score_p05": 0.05, "score_p95": 0.95}
 
 
 def score_spread(scored: DataFrame) -> DataFrame:
     """5th and 95th percentile: narrow for a collapsed detector."""
-    return exact_percentiles(scored, {"score_p05": 0.05, "score_p95": 0.95})
+    return exact_percentiles(scored, SPREAD)
+
+
+def ranking(scored: DataFrame) -> DataFrame:
+    """AUC and score spread from one ranked table."""
+    counts = score_counts(scored).withColumn("m", F.col("pos") + F.col("neg"))
+    ranked = running_sums(counts, [], ["score"], ["neg", "m"])
+    return ranked.agg(_auc(), *_percentile_parts(SPREAD, "score")).select("auc", *_percentiles(SPREAD))
 
 
 def score_summary(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -136,17 +159,17 @@ def score_summary(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def evaluate(examples: DataFrame, num_classes: int, task: str = "anomaly") -> DataFrame:
-    """One row: accuracy, macro-F1, n, and for the binary task AUC and score spread."""
-    predicted = examples.withColumn("pred", argmax(F.col("logits")))
-    acc = accuracy(predicted)
-    out = acc.withColumn("macro_f1", macro_f1(predicted, num_classes).scalar())
-    if task == "anomaly":
-        scored = examples.select(softmax(F.col("logits"))[1].alias("score"), "label")
-        spread = score_spread(scored)
-        out = (out.withColumn("auc", roc_auc(scored).scalar())
-               .withColumn("score_p05", spread.select("score_p05").scalar())
-               .withColumn("score_p95", spread.select("score_p95").scalar()))
-    return out
+    """One row: accuracy, macro-F1, n, and for the binary task AUC and score spread.
+
+    Predictions and scores are stored once, so a model behind ``logits`` runs once.
+    """
+    score = softmax(F.col("logits"))[1] if task == "anomaly" else F.lit(None).cast("double")
+    rows = materialize(examples.select(argmax(F.col("logits")).alias("pred"), "label", score.alias("score")), "predictions")
+    out = accuracy(rows).withColumn("macro_f1", macro_f1(rows, num_classes).scalar())
+    if task != "anomaly":
+        return out
+    row = ranking(rows).select(F.struct("auc", *SPREAD)).scalar()
+    return out.withColumns({x: row[x] for x in ("auc", *SPREAD)})
 
 
 def best_epoch(epochs: DataFrame, run: list[str] | None = None) -> DataFrame:

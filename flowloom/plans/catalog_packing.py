@@ -181,7 +181,7 @@ def best_epoch(spark, sf):
     auc = (F.when(c("epoch") % 5 == 0, F.lit(None)).when(c("epoch") % 7 == 0, F.lit(float("nan")))
            .when(c("epoch") % 11 == 0, 0.0).otherwise(c("raw")))
     return M.best_epoch(epochs.withColumn("auc", auc), ["event_type"]).select(
-        "event_type", "epoch", F.round("figure", 6).alias("figure"), "is_best")
+        "event_type", "epoch", F.round("figure", 9).alias("figure"), "is_best")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (

@@ -123,6 +123,6 @@ ORACLES = {
     "best_epoch": """WITH g AS (SELECT event_type, event_id // 100 AS epoch, sum(CAST(trunc(value * 100) AS BIGINT)) / CAST(10000000 AS DOUBLE) AS raw,
         count(*) / CAST(100 AS DOUBLE) AS macro_f1 FROM events GROUP BY ALL),
         f AS (SELECT event_type, epoch, CASE WHEN epoch % 5 = 0 OR epoch % 7 = 0 OR epoch % 11 = 0 OR raw = 0 THEN macro_f1 ELSE raw END AS figure FROM g)
-        SELECT event_type, CAST(epoch AS BIGINT) AS epoch, round(figure, 6) AS figure, figure > coalesce(max(figure) OVER (PARTITION BY event_type
+        SELECT event_type, CAST(epoch AS BIGINT) AS epoch, round(figure, 9) AS figure, figure > coalesce(max(figure) OVER (PARTITION BY event_type
             ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS is_best FROM f""",
 }
