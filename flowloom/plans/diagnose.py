@@ -32,14 +32,15 @@ def attach_contexts(flows: DataFrame, limits: V.Limits = V.Limits()) -> DataFram
 
     A source below the scan limit, or a target below any flood limit, cannot change a
     report, so those context rows stay out of the shuffle joins. ``flows`` is read
-    several times: pass a stored table.
+    several times: pass a stored table. The contexts are stored too, since the join
+    reads its small side for the total, the heavy and the light keys.
     """
     seen = flows.filter(F.col("n_packets") > 0)
-    by_src = X.aggregate_by_src(seen).select(
-        *S.SRC_KEY, F.col("n_distinct_dst_ports").alias("src_ports"), F.col("n_flows").alias("_w"))
-    by_dst = X.aggregate_by_dst(seen).select(
+    by_src = materialize(X.aggregate_by_src(seen).select(
+        *S.SRC_KEY, F.col("n_distinct_dst_ports").alias("src_ports"), F.col("n_flows").alias("_w")), "by-src")
+    by_dst = materialize(X.aggregate_by_dst(seen).select(
         *S.DST_KEY, F.col("n_distinct_sources").alias("dst_sources"), F.col("n_packets").alias("dst_packets"),
-        F.col("syn_only_ratio").alias("dst_ratio"), F.col("n_flows").alias("_w"))
+        F.col("syn_only_ratio").alias("dst_ratio"), F.col("n_flows").alias("_w")), "by-dst")
     spread = ["src", "sport", "dst", "dport"]
     scored = flows.filter(F.col("anomaly_score").isNotNull())
     out = lookup_join(scored, by_src, S.SRC_KEY, "_w", spread,

@@ -174,18 +174,22 @@ def index_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTE
     """Chunks of all capture files under ``path``; a bad file gives one row with ``error``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
 
+    names = [part.strip().split(" ")[0] for part in INDEX_SCHEMA.split(",")]
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame([[row.get(n) for n in names] for row in rows], columns=names, dtype=object)
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.strip().split(" ")[0] for part in INDEX_SCHEMA.split(",")]
         for batch in batches:
             for p in batch["path"]:
                 rows: list[dict] = []
                 for row in index_file(p, chunk_bytes):
                     rows.append(row)
                     if len(rows) == 1024:
-                        yield pd.DataFrame(rows).reindex(columns=names)
+                        yield frame(rows)
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows).reindex(columns=names)
+                    yield frame(rows)
 
     return files.mapInPandas(walk, INDEX_SCHEMA)
 

@@ -50,7 +50,7 @@ def check_sources(expected: DataFrame, packets: DataFrame) -> DataFrame:
 def require_rows(expected: DataFrame, packets: DataFrame) -> DataFrame:
     """``check_sources`` that fails the job on the first empty source."""
     checked = check_sources(expected, packets)
-    return checked.withColumn("n_rows", F.when(F.col("error").isNotNull(), F.raise_error("error").cast("bigint"))
+    return checked.withColumn("n_rows", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("bigint"))
                               .otherwise(F.col("n_rows"))).drop("error")
 
 
