@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.functions.signatures import uint_at
+from flowloom.functions.signatures import hex_at, uint_at
 from flowloom.schema import TCP, UDP
 
 # Link types, EtherTypes and flag letters (lowest bit first).
@@ -25,27 +25,30 @@ FLAG_LETTERS = "FSRPAUECN"
 
 
 def ip_offset(frame: Column, link_type: Column) -> Column:
-    """0-based start of the IPv4 header, null where the frame carries none."""
-    def ether(at: int) -> Column:
-        kind = uint_at(frame, at, 2)
-        inner = ether(at + 4) if at < 20 else F.lit(None).cast("int")
-        return F.when(kind == ETHERTYPE_IPV4, at + 2).when(kind.isin(ETHERTYPES_VLAN), inner)
+    """0-based start of the IPv4 header, null where the frame carries none.
 
+    Types are compared as hex text, which is cheaper than turning them into numbers.
+    """
+    def kind_is(at: int, *kinds: int) -> Column:
+        return hex_at(frame, at, 2).isin([f"{k:04X}" for k in kinds])
+
+    tagged, twice = kind_is(12, *ETHERTYPES_VLAN), kind_is(16, *ETHERTYPES_VLAN)
     return (F.when(link_type.isin(LINK_RAW, LINK_IPV4, LINK_RAW_BSD), 0)
-            .when(link_type == LINK_ETHERNET, ether(12))
+            .when((link_type == LINK_ETHERNET) & kind_is(12, ETHERTYPE_IPV4), 14)
+            .when((link_type == LINK_ETHERNET) & tagged & kind_is(16, ETHERTYPE_IPV4), 18)
+            .when((link_type == LINK_ETHERNET) & tagged & twice & kind_is(20, ETHERTYPE_IPV4), 22)
             .when(link_type == LINK_NULL, 4)
-            .when((link_type == LINK_SLL) & (uint_at(frame, 14, 2) == ETHERTYPE_IPV4), 16)
-            .when((link_type == LINK_SLL2) & (uint_at(frame, 0, 2) == ETHERTYPE_IPV4), 20)
+            .when((link_type == LINK_SLL) & kind_is(14, ETHERTYPE_IPV4), 16)
+            .when((link_type == LINK_SLL2) & kind_is(0, ETHERTYPE_IPV4), 20)
             .cast("int"))
 
 
 def ipv4_only(frames: DataFrame) -> DataFrame:
     """Keep frames with an IPv4 header; adds ``ip`` (the bytes from that header on)."""
-    ip = F.expr("substring(frame, _ip_at + 1)")
+    first = F.hex(F.expr("substring(frame, _ip_at + 1, 1)"))
     return (frames.withColumn("_ip_at", ip_offset(F.col("frame"), F.col("link_type")))
-            .filter(F.col("_ip_at").isNotNull())
-            .withColumn("ip", ip).drop("_ip_at")
-            .filter((F.length("ip") >= 20) & F.hex(F.substring("ip", 1, 1)).rlike("^4[5-9A-F]$")))
+            .filter((F.length("frame") >= F.col("_ip_at") + 20) & first.between("45", "4F"))
+            .withColumn("ip", F.expr("substring(frame, _ip_at + 1)")).drop("_ip_at"))
 
 
 @F.pandas_udf(T.LongType())
@@ -56,13 +59,16 @@ def word_sum(data: pd.Series) -> pd.Series:
     return data.map(one, na_action="ignore").astype("Int64")
 
 
-def header_word_sum(data: Column, max_bytes: int) -> Column:
-    """Native word sum for short headers: one term per word up to ``max_bytes``."""
-    words = [F.coalesce(F.conv(F.rpad(F.hex(F.substring(data, i + 1, 2)), 4, "0"), 16, 10).cast("bigint"),
-                        F.lit(0)) for i in range(0, max_bytes, 2)]
-    total = words[0]
-    for w in words[1:]:
-        total = total + w
+def header_word_sum(data: Column, start: int, stop: int) -> Column:
+    """Word sum of the bytes ``start``..``stop`` modulo 65535, as far as ``data`` reaches.
+
+    Six bytes are read as one number: 2**16 is 1 modulo 65535, so its value equals the
+    sum of its three words there.
+    """
+    parts = [F.coalesce(uint_at(data, i, 6), F.lit(0)) for i in range(start, stop, 6)]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
     return total
 
 
@@ -71,28 +77,51 @@ def ones_complement(total: Column) -> Column:
     return F.lit(0xFFFE) - F.pmod(total - 1, F.lit(0xFFFF))
 
 
-def dotted(data: Column, start: int) -> Column:
-    return F.concat_ws(".", *[F.conv(F.hex(F.substring(data, start + i + 1, 1)), 16, 10) for i in range(4)])
+def bits(number: Column, shift: int, width: int) -> Column:
+    """``width`` bits of a number from bit ``shift`` on."""
+    return F.shiftright(number, shift).bitwiseAND((1 << width) - 1)
 
 
-def with_checksums(rows: DataFrame, udp_zero_ok: bool = False) -> DataFrame:
-    """Add both checksum flags to rows of ``header_fields``' working columns.
+def dotted(address: Column) -> Column:
+    return F.concat_ws(".", *[bits(address, s, 8).cast("string") for s in (24, 16, 8, 0)])
 
-    Sums become columns of their own, so that each is computed once. A packet without
-    a transport checksum counts as good.
-    """
+
+def _header_numbers(ipv4: DataFrame) -> DataFrame:
+    """Working columns of an IPv4 frame. Headers are read as a few wide numbers, and the
+    fields cut out of those by shifts, since turning bytes into a number is the dear step."""
+    c = F.col
+    rows = (ipv4.withColumn("_a", uint_at(c("ip"), 0, 6))       # version, length, total length, id
+            .withColumn("_b", uint_at(c("ip"), 6, 6))           # fragment, TTL, protocol, checksum
+            .withColumn("_src", uint_at(c("ip"), 12, 4)).withColumn("_dst", uint_at(c("ip"), 16, 4))
+            .withColumns({"_ihl": bits(c("_a"), 40, 4).cast("int") * 4, "_total": bits(c("_a"), 16, 16).cast("int"),
+                          "_first": bits(c("_b"), 32, 13) == 0, "_ttl": bits(c("_b"), 24, 8).cast("int"),
+                          "proto": bits(c("_b"), 16, 8).cast("int"), "_ip_stored": bits(c("_b"), 0, 16)})
+            .withColumn("_rest", F.when(c("_total") >= c("_ihl"), c("_total") - c("_ihl")).otherwise(F.length("ip")))
+            .withColumn("_l4", F.expr("substring(ip, _ihl + 1, _rest)"))
+            .withColumns({"_tcp": c("_first") & (c("proto") == TCP) & (F.length("_l4") >= 20),
+                          "_udp": c("_first") & (c("proto") == UDP) & (F.length("_l4") >= 8)})
+            .withColumn("_c", F.when(c("_tcp") | c("_udp"), uint_at(c("_l4"), 0, 6)))    # ports, UDP length
+            .withColumn("_d", F.when(c("_tcp"), uint_at(c("_l4"), 12, 6))                # offset, flags, TCP checksum
+                        .when(c("_udp"), uint_at(c("_l4"), 6, 2))))                      # UDP checksum
+    return rows.withColumns({
+        "_doff": F.greatest(F.lit(20), bits(c("_d"), 44, 4).cast("int") * 4), "_ulen": bits(c("_c"), 0, 16).cast("int"),
+        "_l4_stored": bits(c("_d"), 0, 16)})
+
+
+def with_checksums(rows: DataFrame, udp_zero_ok: bool = False) -> DataFrame:
+    """Add both checksum flags to the working columns. A packet without a transport
+    checksum counts as good."""
     c = F.col
     udp = c("proto") == UDP
-    stored = F.when(c("_tcp"), uint_at(c("_l4"), 16, 2)).when(c("_udp"), uint_at(c("_l4"), 6, 2))
+    options = F.when(c("_ihl") > 20, header_word_sum(F.expr("substring(ip, 1, _ihl)"), 20, 60)).otherwise(F.lit(0))
     length = F.when(c("_total") >= c("_ihl"), c("_total") - c("_ihl")).otherwise(F.length("_l4"))
-    pseudo = header_word_sum(F.substring(c("ip"), 13, 8), 8) + c("proto") + length
-    rows = (rows.withColumn("_ip_stored", uint_at(c("ip"), 10, 2))
-            .withColumn("_l4_stored", stored)
-            .withColumn("_ip_sum", header_word_sum(F.expr("substring(ip, 1, _ihl)"), 60))
-            .withColumn("_l4_sum", pseudo + word_sum(F.when(c("_l4_stored").isNotNull(), c("_l4"))))
+    segment = word_sum(F.when(c("_l4_stored").isNotNull(), c("_l4")))
+    rows = (rows.withColumn("_ip_sum", c("_a") + c("_b") + c("_src") + c("_dst") + options)
+            .withColumn("_l4_sum", c("_src") + c("_dst") + c("proto") + length + segment)
             .withColumn("_l4_want", ones_complement(c("_l4_sum") - c("_l4_stored"))))
     # A computed UDP checksum of 0 is sent as all ones.
-    l4_ok = (c("_l4_stored").isNull() | (c("_l4_stored") == F.when(udp & (c("_l4_want") == 0), 0xFFFF).otherwise(c("_l4_want"))))
+    want = F.when(udp & (c("_l4_want") == 0), 0xFFFF).otherwise(c("_l4_want"))
+    l4_ok = c("_l4_stored").isNull() | (c("_l4_stored") == want)
     if udp_zero_ok:
         l4_ok = l4_ok | (udp & (c("_l4_stored") == 0))
     return rows.withColumns({
@@ -109,34 +138,18 @@ def header_fields(frames: DataFrame, udp_zero_ok: bool = False, checksums: bool
     """
     c = F.col
     keep = [n for n in frames.columns if n not in ("frame", "link_type")]
-    rows = (ipv4_only(frames)
-            .withColumn("_ihl", uint_at(c("ip"), 0, 1).bitwiseAND(15).cast("int") * 4)
-            .withColumn("_total", uint_at(c("ip"), 2, 2).cast("int"))
-            .withColumn("_first", uint_at(c("ip"), 6, 2).bitwiseAND(0x1FFF) == 0)
-            .withColumn("proto", uint_at(c("ip"), 9, 1).cast("int"))
-            .withColumn("_rest", F.when(c("_total") >= c("_ihl"), c("_total") - c("_ihl"))
-                        .otherwise(F.length("ip")))
-            .withColumn("_l4", F.expr("substring(ip, _ihl + 1, _rest)"))
-            .withColumn("_tcp", c("_first") & (c("proto") == TCP) & (F.length("_l4") >= 20))
-            .withColumn("_udp", c("_first") & (c("proto") == UDP) & (F.length("_l4") >= 8))
-            .withColumn("_doff", F.greatest(F.lit(20), F.shiftright(uint_at(c("_l4"), 12, 1), 4).cast("int") * 4))
-            .withColumn("_ulen", uint_at(c("_l4"), 4, 2).cast("int"))
-            .withColumn("_bits", uint_at(c("_l4"), 12, 2).bitwiseAND(0x1FF)))
-    ported = c("_tcp") | c("_udp")
-    letters = [F.when(c("_bits").bitwiseAND(1 << i) != 0, letter).otherwise("")
-               for i, letter in enumerate(FLAG_LETTERS)]
+    rows = _header_numbers(ipv4_only(frames))
+    letters = [F.when(bits(c("_d"), 32 + i, 1) == 1, letter).otherwise("") for i, letter in enumerate(FLAG_LETTERS)]
     payload = (F.when(c("_tcp"), F.expr("substring(_l4, _doff + 1)"))
                .when(c("_udp") & (c("_ulen") >= 8), F.expr("substring(_l4, 9, _ulen - 8)"))
                .when(c("_udp"), F.expr("substring(_l4, 9)"))
                .otherwise(c("_l4")))
-    out = [*keep,
-           dotted(c("ip"), 12).alias("src"), dotted(c("ip"), 16).alias("dst"),
-           F.when(ported, uint_at(c("_l4"), 0, 2)).otherwise(0).cast("int").alias("sport"),
-           F.when(ported, uint_at(c("_l4"), 2, 2)).otherwise(0).cast("int").alias("dport"),
+    out = [*keep, dotted(c("_src")).alias("src"), dotted(c("_dst")).alias("dst"),
+           F.coalesce(bits(c("_c"), 32, 16), F.lit(0)).cast("int").alias("sport"),
+           F.coalesce(bits(c("_c"), 16, 16), F.lit(0)).cast("int").alias("dport"),
            c("proto"),
            F.when(c("_tcp"), F.concat(*letters)).otherwise("").alias("flags"),
-           uint_at(c("ip"), 8, 1).cast("int").alias("ttl"),
-           payload.alias("payload")]
+           c("_ttl").alias("ttl"), payload.alias("payload")]
     if checksums:
         rows = with_checksums(rows, udp_zero_ok)
         out += [c("ip_checksum_ok"), c("l4_checksum_ok")]

@@ -26,7 +26,7 @@ def hex_at(payload: Column, start: int, n: int) -> Column:
 
 
 def uint_at(payload: Column, start: int, n: int) -> Column:
-    """Big-endian unsigned number of ``n`` bytes (n <= 4) from 0-based ``start``."""
+    """Big-endian unsigned number of ``n`` bytes (n <= 7) from 0-based ``start``."""
     return F.conv(hex_at(payload, start, n), 16, 10).cast("bigint")
 
 

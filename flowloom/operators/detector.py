@@ -16,6 +16,7 @@ from flowloom import schema as S
 from flowloom.functions.tokens import byte_values
 from flowloom.operators import metrics as M
 from flowloom.operators import prepare as B
+from flowloom.operators.flows import assemble_capture_flows
 
 
 def with_byte_tokens(flows: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def train_detector(flows: DataFrame, task: str = "anomaly", weights: DataFrame |
     Save and load the result as any ``PipelineModel``.
     """
     data = with_byte_tokens(flows).withColumn("label", B.task_label(task).cast("int"))
-    classifier = classifier or LogisticRegression(maxIter=50, regParam=1e-3,
+    classifier = classifier or LogisticRegression(maxIter=25, regParam=1e-3,
                                                   family="binomial" if task == "anomaly" else "multinomial")
     if weights is not None:
         data = B.example_weights(data, "label", weights)
@@ -81,6 +82,11 @@ def score_flows(model: PipelineModel, flows: DataFrame, keys: list[str]) -> Data
     return scored.select(*keys, vector_to_array("probability")[1].alias("score"))
 
 
+def score_captures(model: PipelineModel, packets: DataFrame) -> DataFrame:
+    """Scores for every flow of a packet table, keyed as the reports need them."""
+    return score_flows(model, assemble_capture_flows(packets), S.FLOW_KEY)
+
+
 def predict_logits(model: PipelineModel, flows: DataFrame, task: str = "anomaly") -> DataFrame:
     """(logits, label) rows for ``metrics.evaluate``."""
     scored = model.transform(with_byte_tokens(flows))

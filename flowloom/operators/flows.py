@@ -85,4 +85,6 @@ def assemble_capture_flows(packets: DataFrame, max_packets: int = S.MAX_PACKETS_
             F.col("packet_index").alias("slot"), F.length("payload").alias("length"), "payload"))).alias("packets"))
     proto_id = K.protocol_id(F.col("proto"))
     return (flows.withColumn("proto_id", proto_id)
+            .withColumn("sport_bucket", K.port_bucket(F.col("sport")))
+            .withColumn("dport_bucket", K.port_bucket(F.col("dport")))
             .withColumn("headers", K.header_vector(proto_id, F.col("sport"), F.col("dport"), F.col("npkts"))))

@@ -14,9 +14,10 @@ from flowloom.operators import assemble as A
 from flowloom.operators import detector as DT
 from flowloom.operators import metrics as M
 from flowloom.operators import prepare as B
+from flowloom.plans import diagnose as P
 from flowloom.plans import fixtures as FX
 from flowloom.plans import frames_fixture as FF
-from flowloom.session import scratch_path
+from flowloom.session import materialize, scratch_path
 from flowloom.sources import captures as C
 from flowloom.sources import flow_tables as FT
 from flowloom.sources import labelled as L
@@ -309,7 +310,7 @@ def flow_features(spark, sf):
 def _split_flows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     path = scratch_path(spark, "flow-table")
     FT.write_flows(_flows(spark, sf), path)
-    split = B.train_val_split(FT.read_flows(spark, path), S.SHARD_KEY)
+    split = materialize(B.train_val_split(FT.read_flows(spark, path), S.SHARD_KEY), "split")
     return split.filter("is_train"), split.filter("NOT is_train")
 
 
@@ -325,6 +326,15 @@ def score_flows(spark, sf):
     return DT.score_flows(DT.train_detector(train), val, S.SHARD_KEY)
 
 
+def score_captures(spark, sf):
+    """A detector trained on payload flows, at work on captured packets: scores and reports."""
+    train, _ = _split_flows(spark, sf)
+    packets = FX.wire_packets(spark, sf)
+    scores = DT.score_captures(DT.train_detector(train), packets)
+    return P.diagnose_captures(packets, scores).select(
+        "flow", "anomaly_score", "anomaly", c("root_cause")["tag"].alias("tag"))
+
+
 def train_class_detector(spark, sf):
     train, val = _split_flows(spark, sf)
     model = DT.train_detector(train, "class", B.class_weights(train, "label_cls", 10))
@@ -360,4 +370,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     assemble_flows, flow_metadata, header_vector, flow_packet_counts, flow_tokens, real_packet_count, class_balance,
     attack_rate, cap_flows, cap_rows, labelled_flows, protocol_dictionary, derived_packets, proxy_bytes,
     tabular_examples, tokenizer_parity, proxy_locality, flow_features, train_detector, train_class_detector,
-    score_flows, score_with, ceiling_probe)}
+    score_flows, score_captures, score_with, ceiling_probe)}

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Flow aggregates follow a window with the same order: aggregate in that order, without a hash map.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
 }
 
 
@@ -28,6 +30,13 @@ def build_session(master: str | None = None, app: str = "flowloom", **conf: str)
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set the library's settings on a session somebody else built."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 

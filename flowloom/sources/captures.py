@@ -9,6 +9,7 @@ is spread over many tasks. Header decoding is left to native expressions
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -36,7 +37,6 @@ FRAME_SCHEMA = "capture STRING, frame_no BIGINT, ts_us BIGINT, link_type INT, fr
 
 def open_path(path: str) -> BinaryIO:
     """A seekable stream of a file path or of any URI Arrow knows (file, hdfs, s3, gs)."""
-    import io
     from urllib.parse import unquote, urlparse
 
     from pyarrow import fs
@@ -97,77 +97,91 @@ def _ng_interface(f: BinaryIO, at: int, size: int, order: str) -> tuple[int, int
     return link, ticks
 
 
+def index_stream(f: BinaryIO, name: str, chunk_bytes: int) -> Iterator[dict]:
+    """Chunk rows of one capture; constant memory whatever its size."""
+    raw = f.read(24)
+    magic = struct.unpack("<I", raw[:4])[0] if len(raw) >= 4 else 0
+    if magic in PCAP_MAGIC and len(raw) == 24:
+        order, ticks = PCAP_MAGIC[magic]
+        link = struct.unpack(order + "I", raw[20:24])[0] & 0xFFFF
+        base = dict(byte_order=order, ticks=ticks, link_types=[link], link_ticks=[ticks], ng=False)
+        steps = ((a, d + n, True, None) for a, d, n, _, _ in _classic_records(f, 24, None, order))
+    elif magic == PCAPNG_MAGIC:
+        base = dict(byte_order="<", ticks=10**6, link_types=[], link_ticks=[], ng=True)
+        steps = ((a, a + n, k in (NG_SIMPLE, NG_ENHANCED), (k, n, o)) for a, k, n, o in _ng_blocks(f, 0, None, "<"))
+    else:
+        yield dict(capture=name, error="not a capture file")
+        return
+    base["capture"] = name
+    chunk, frame, first, start, stop, state = 0, 0, 0, None, None, base
+    for at, stop, is_frame, block in steps:
+        if start is None:
+            start, first, state = at, frame, dict(base)
+        if block is not None:
+            kind, size, order = block
+            if kind == PCAPNG_MAGIC:
+                base.update(byte_order=order, link_types=[], link_ticks=[])
+            elif kind == NG_INTERFACE:
+                link, ticks = _ng_interface(f, at, size, order)
+                base.update(link_types=[*base["link_types"], link], link_ticks=[*base["link_ticks"], ticks])
+        frame += is_frame
+        if stop - start >= chunk_bytes:
+            yield dict(state, chunk=chunk, start=start, stop=stop, first_frame=first)
+            chunk, start = chunk + 1, None
+    if start is not None:
+        yield dict(state, chunk=chunk, start=start, stop=stop, first_frame=first)
+
+
 def index_file(path: str, chunk_bytes: int) -> Iterator[dict]:
-    """Chunk rows of one file; constant memory whatever its size."""
+    """Chunk rows of one file; a file that cannot be read costs one row with ``error``."""
     try:
         with open_path(path) as f:
-            raw = f.read(24)
-            magic = struct.unpack("<I", raw[:4])[0] if len(raw) >= 4 else 0
-            base = dict(capture=path, error=None)
-            chunk, frame, first, start, last = 0, 0, 0, None, None
-            if magic in PCAP_MAGIC and len(raw) == 24:
-                order, ticks = PCAP_MAGIC[magic]
-                link = struct.unpack(order + "I", raw[20:24])[0] & 0xFFFF
-                base.update(byte_order=order, ticks=ticks, link_types=[link], link_ticks=[ticks], ng=False)
-                steps = ((a, d + n, True, None) for a, d, n, _, _ in _classic_records(f, 24, None, order))
-            elif magic == PCAPNG_MAGIC:
-                base.update(byte_order="<", ticks=10**6, link_types=[], link_ticks=[], ng=True)
-                steps = ((a, a + n, k in (NG_SIMPLE, NG_ENHANCED), (k, n, o)) for a, k, n, o in _ng_blocks(f, 0, None, "<"))
-            else:
-                yield dict(capture=path, error="not a capture file")
-                return
-            state = dict(base)
-            for at, end, is_frame, block in steps:
-                if start is None:
-                    start, first, state = at, frame, dict(base)
-                if block is not None:
-                    kind, size, order = block
-                    if kind == PCAPNG_MAGIC:
-                        base.update(byte_order=order, link_types=[], link_ticks=[])
-                    elif kind == NG_INTERFACE:
-                        link, ticks = _ng_interface(f, at, size, order)
-                        base.update(link_types=[*base["link_types"], link], link_ticks=[*base["link_ticks"], ticks])
-                frame += is_frame
-                last = end
-                if last - start >= chunk_bytes:
-                    yield dict(state, chunk=chunk, start=start, stop=last, first_frame=first)
-                    chunk, start = chunk + 1, None
-            if start is not None:
-                yield dict(state, chunk=chunk, start=start, stop=last, first_frame=first)
+            yield from index_stream(f, path, chunk_bytes)
     except (OSError, struct.error) as exc:
         yield dict(capture=path, error=f"{type(exc).__name__}: {exc}")
 
 
-def chunk_frames(row: dict) -> Iterator[tuple[int, int, int, bytes]]:
+def chunk_frames(f: BinaryIO, row: dict) -> Iterator[tuple[int, int, int, bytes]]:
     """(frame number, microseconds, link type, bytes) of one chunk. A cut-off last frame is kept as it is."""
     frame = row["first_frame"]
-    with open_path(row["capture"]) as f:
-        if not row["ng"]:
-            scale = 10**6 / row["ticks"]
-            for _, at, size, sec, frac in _classic_records(f, row["start"], row["stop"], row["byte_order"]):
-                f.seek(at)
-                yield frame, sec * 10**6 + int(frac * scale), row["link_types"][0], f.read(size)
-                frame += 1
-            return
-        links, ticks = list(row["link_types"]), list(row["link_ticks"])
-        for at, kind, size, order in _ng_blocks(f, row["start"], row["stop"], row["byte_order"]):
-            if kind == PCAPNG_MAGIC:
-                links, ticks = [], []
-            elif kind == NG_INTERFACE:
-                link, tick = _ng_interface(f, at, size, order)
-                links.append(link)
-                ticks.append(tick)
-            elif kind == NG_ENHANCED:
-                f.seek(at + 8)
-                iface, high, low, kept, _ = struct.unpack(order + "IIIII", f.read(20))
-                us = ((high << 32) | low) * 10**6 // ticks[iface]
-                yield frame, us, links[iface], f.read(kept)
-                frame += 1
-            elif kind == NG_SIMPLE:
-                f.seek(at + 8)
-                length = struct.unpack(order + "I", f.read(4))[0]
-                yield frame, 0, links[0], f.read(min(length, size - 16))
-                frame += 1
+    if not row["ng"]:
+        for _, at, size, sec, frac in _classic_records(f, row["start"], row["stop"], row["byte_order"]):
+            f.seek(at)
+            yield frame, sec * 10**6 + frac * 10**6 // row["ticks"], row["link_types"][0], f.read(size)
+            frame += 1
+        return
+    links, ticks = list(row["link_types"]), list(row["link_ticks"])
+    for at, kind, size, order in _ng_blocks(f, row["start"], row["stop"], row["byte_order"]):
+        if kind == PCAPNG_MAGIC:
+            links, ticks = [], []
+        elif kind == NG_INTERFACE:
+            link, tick = _ng_interface(f, at, size, order)
+            links.append(link)
+            ticks.append(tick)
+        elif kind == NG_ENHANCED:
+            f.seek(at + 8)
+            iface, high, low, kept, _ = struct.unpack(order + "IIIII", f.read(20))
+            yield frame, ((high << 32) | low) * 10**6 // ticks[iface], links[iface], f.read(kept)
+            frame += 1
+        elif kind == NG_SIMPLE:
+            f.seek(at + 8)
+            length = struct.unpack(order + "I", f.read(4))[0]
+            yield frame, 0, links[0], f.read(min(length, size - 16))
+            frame += 1
+
+
+FRAME_COLUMNS = ["capture", "frame_no", "ts_us", "link_type", "frame"]
+
+
+def _frame_batches(f: BinaryIO, row: dict, batch_rows: int) -> Iterator[pd.DataFrame]:
+    out = []
+    for number, ts, link, data in chunk_frames(f, row):
+        out.append((row["capture"], number, ts, link, data))
+        if len(out) == batch_rows:
+            yield pd.DataFrame(out, columns=FRAME_COLUMNS)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=FRAME_COLUMNS)
 
 
 def index_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -194,23 +208,22 @@ def index_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTE
     return files.mapInPandas(walk, INDEX_SCHEMA)
 
 
-def read_frames(index: DataFrame, batch_rows: int = 4096) -> DataFrame:
-    """Frames of indexed chunks, each chunk on its own wherever it lands."""
+def read_frames(index: DataFrame, batch_rows: int = 4096, tasks: int | None = None) -> DataFrame:
+    """Frames of indexed chunks, each chunk on its own wherever it lands.
+
+    The number of tasks is set here: index rows are tiny, and a partition count left to
+    the runtime would be merged down to one.
+    """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["capture", "frame_no", "ts_us", "link_type", "frame"]
         for batch in batches:
             for row in batch.to_dict("records"):
-                out = []
-                for number, ts, link, data in chunk_frames(row):
-                    out.append((row["capture"], number, ts, link, data))
-                    if len(out) == batch_rows:
-                        yield pd.DataFrame(out, columns=columns)
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=columns)
+                with open_path(row["capture"]) as f:
+                    yield from _frame_batches(f, row, batch_rows)
 
+    spark = index.sparkSession
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     good = index.filter(F.col("error").isNull())
-    return good.repartition("capture", "chunk").mapInPandas(read, FRAME_SCHEMA)
+    return good.repartition(tasks, "capture", "chunk").mapInPandas(read, FRAME_SCHEMA)
 
 
 def read_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES,
@@ -250,22 +263,15 @@ def decode_captures(requests: DataFrame, raw: str | None = None, text: str | Non
                                         "Could not find pcap bytes in the request.")))
 
 
-def frames_of_content(requests: DataFrame, capture: str, content: str = "content") -> DataFrame:
-    """Frames of captures held in a BINARY column (request-sized, one row each)."""
+def frames_of_content(requests: DataFrame, capture: str, content: str = "content", batch_rows: int = 4096) -> DataFrame:
+    """Frames of captures held in a BINARY column (request-sized, one row each); others give none."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
         for batch in batches:
             for name, data in zip(batch["capture"], batch["content"]):
-                magic = struct.unpack("<I", data[:4])[0] if len(data) >= 24 else 0
-                if magic not in PCAP_MAGIC:
-                    continue
-                order, ticks = PCAP_MAGIC[magic]
-                link = struct.unpack(order + "I", data[20:24])[0] & 0xFFFF
-                out = [(name, i, sec * 10**6 + int(frac * 10**6 / ticks), link, data[at:at + size])
-                       for i, (_, at, size, sec, frac)
-                       in enumerate(_classic_records(io.BytesIO(data), 24, None, order))]
-                yield pd.DataFrame(out, columns=["capture", "frame_no", "ts_us", "link_type", "frame"])
+                f = io.BytesIO(data)
+                for row in list(index_stream(f, name, CHUNK_BYTES)):
+                    if row.get("error") is None:
+                        yield from _frame_batches(f, row, batch_rows)
 
     rows = requests.select(F.col(capture).cast("string").alias("capture"), F.col(content).alias("content"))
     return rows.filter(F.col("content").isNotNull()).mapInPandas(read, FRAME_SCHEMA)

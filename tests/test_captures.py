@@ -113,3 +113,5 @@ def test_request_columns(spark):
     assert all(bytes(got[i]["content"]) == data for i in (1, 2, 3, 4, 9))
     frames = C.frames_of_content(C.decode_captures(df, "raw", "b64", "fields"), "id")
     assert frames.count() == 5
+    newer = spark.createDataFrame([("n", bytearray(pcapng([ether(ipv4(6, tcp(b"hi")))] * 3)))], "id STRING, content BINARY")
+    assert [r["frame_no"] for r in C.frames_of_content(newer, "id").collect()] == [0, 1, 2]
