@@ -14,9 +14,9 @@ from flowloom.functions.text import fill, fixed, percent
 
 @dataclass(frozen=True)
 class Limits:
-    """Rule thresholds; the defaults are fixed values."""
+    """Rule thresholds; the defaults are fixed values. The anomaly threshold may be a column."""
 
-    anomaly_threshold: float = 0.5
+    anomaly_threshold: float | Column = 0.5
     port_scan_min_ports: int = 8
     syn_flood_min_packets: int = 10
     syn_flood_min_sources: int = 8
@@ -64,7 +64,7 @@ def with_root_cause(flows: DataFrame, limits: Limits = Limits(), labels: dict[st
     supporting = F.filter("findings", lambda f: _cause(f["code"]) == c("top")["cause"])
     codes = F.transform("findings", lambda f: f["code"])
     label_map = literal_map(labels or CAUSE_LABELS)
-    threshold = F.lit(float(limits.anomaly_threshold))
+    threshold = F.lit(limits.anomaly_threshold).cast("double")
 
     def scan(ports: Column) -> Column:
         return F.least(F.lit(0.95), F.lit(0.5) + F.lit(0.05) * ports)
@@ -132,6 +132,6 @@ def suggest_actions_from(causes: DataFrame, table: DataFrame) -> DataFrame:
             .withColumn("actions", F.coalesce("actions", fallback)))
 
 
-def anomaly_flag(score: Column, threshold: float = 0.5) -> Column:
+def anomaly_flag(score: Column, threshold: float | Column = 0.5) -> Column:
     """Strictly above the threshold; the verdict ladder uses ``>=`` instead."""
-    return score > F.lit(float(threshold))
+    return score > F.lit(threshold).cast("double")

@@ -11,7 +11,9 @@ from flowloom import schema as S
 from flowloom.operators import assemble as A
 from flowloom.operators import metrics as M
 from flowloom.operators import prepare as B
+from flowloom.operators import verdicts as V
 from flowloom.plans import fixtures as FX
+from flowloom.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 c = F.col
@@ -19,40 +21,45 @@ KEY = ["flow_id"]
 EDGES = [2, 4, 8, 16]
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The flow sizes as a stored table, for plans that read them several times."""
+    return materialize(FX.flow_counts(spark, sf), "flow-counts")
+
+
 # --- splits, batches, weights ---------------------------------------------------------
 
 def train_val_split(spark, sf):
-    return B.train_val_split(FX.flow_counts(spark, sf), KEY).select("flow_id", "is_train")
+    return B.train_val_split(_stored(spark, sf), KEY).select("flow_id", "is_train")
 
 
 def split_check(spark, sf):
-    flows = FX.flow_counts(spark, sf)
+    flows = _stored(spark, sf)
     return B.split_check(B.train_val_split(flows, KEY), flows, KEY)
 
 
 def assign_batches(spark, sf):
-    flows = FX.flow_counts(spark, sf)
+    flows = _stored(spark, sf)
     return B.assign_batches(flows, KEY, 256, seed=3, drop_last=False).select(
         "flow_id", "batch_id", "slot_in_batch", B.task_label("class").cast("bigint").alias("label"))
 
 
 def ordered_batches(spark, sf):
-    flows = FX.flow_counts(spark, sf)
+    flows = _stored(spark, sf)
     return B.assign_batches(flows, KEY, 256, shuffle=False, drop_last=False).select(
         "flow_id", "batch_id", "slot_in_batch")
 
 
 def full_batches(spark, sf):
-    flows = FX.flow_counts(spark, sf)
+    flows = _stored(spark, sf)
     return B.assign_batches(flows, KEY, 256, seed=3).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_flows"))
 
 
 def class_weights(spark, sf):
-    return B.class_weights(FX.flow_counts(spark, sf), "label_cls", 12).withColumn("weight", F.round("weight", 6))
+    return B.class_weights(_stored(spark, sf), "label_cls", 12).withColumn("weight", F.round("weight", 6))
 
 
 def example_weights(spark, sf):
-    flows = FX.flow_counts(spark, sf)
+    flows = _stored(spark, sf)
     return B.example_weights(flows, "label_bin", B.class_weights(flows, "label_bin", 2)).select(
         "flow_id", "label_bin", F.round("weight", 6).alias("weight"))
 
@@ -78,19 +85,19 @@ def bucket_batches(spark, sf):
 
 
 def pack_bucketed(spark, sf):
-    flows = FX.flow_counts(spark, sf)
+    flows = _stored(spark, sf)
     packed = B.pack_bucketed(flows, KEY, B.optimal_buckets(flows, 4), 64)
     return packed.groupBy("edge", "batch_no").agg(F.count(F.lit(1)).alias("n_flows"), F.sum("n").alias("n_packets"))
 
 
 def pack_ffd(spark, sf):
-    flows = FX.flow_counts(spark, sf)
+    flows = _stored(spark, sf)
     packed = B.pack_ffd(flows, KEY, B.optimal_buckets(flows, 4), 64, 256)
     return packed.select("flow_id", "n", "bin", "edge")
 
 
 def pack_coverage(spark, sf):
-    flows = FX.flow_counts(spark, sf)
+    flows = _stored(spark, sf)
     return B.pack_coverage(flows, B.pack(flows, KEY, "ffd", token_budget=256), KEY)
 
 
@@ -146,6 +153,10 @@ def score_summary(spark, sf):
         {x: F.round(x, 6) for x in ("min_score", "median_score", "max_score")})
 
 
+def anomaly_flag(spark, sf):
+    return FX.scored_flows(spark, sf).select("flow_id", "score", V.anomaly_flag(c("score")).alias("anomaly"))
+
+
 def softmax(spark, sf):
     return FX.class_logits(spark, sf).select(
         "vec_id", F.posexplode(M.softmax(c("logits"))).alias("class_id", "p")).withColumn("p", F.round("p", 6))
@@ -188,4 +199,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     train_val_split, split_check, assign_batches, ordered_batches, full_batches, class_weights, example_weights,
     packet_histogram, optimal_buckets, bucket_assign, bucket_batches, pack_bucketed, pack_ffd, pack_coverage,
     trim_flows, padding_report, padding_report_ffd, accuracy, macro_f1, class_recall, roc_auc, average_ranks,
-    score_spread, score_summary, softmax, weighted_loss, evaluate, evaluate_classes, majority_baseline, best_epoch)}
+    score_spread, score_summary, anomaly_flag, softmax, weighted_loss, evaluate, evaluate_classes, majority_baseline, best_epoch)}

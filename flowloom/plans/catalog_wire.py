@@ -17,6 +17,7 @@ from flowloom.operators import verdicts as V
 from flowloom.operators.lookups import lookup_join
 from flowloom.plans import diagnose as P
 from flowloom.plans import fixtures as FX
+from flowloom.session import materialize
 from flowloom.sources.reports import report_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +38,7 @@ def _findings(spark: SparkSession, sf: str, rules: list[str] | None = None) -> D
 
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
-    packets = FX.wire_packets(spark, sf)
+    packets = materialize(FX.wire_packets(spark, sf), "wire")
     return P.diagnose_captures(packets, FX.wire_scores(packets))
 
 
@@ -248,7 +249,7 @@ def rca_contributing(spark, sf):
 
 
 def diagnose_flows(spark, sf):
-    packets = FX.wire_packets(spark, sf)
+    packets = materialize(FX.wire_packets(spark, sf), "wire")
     return _flat(P.diagnose_flows(packets, FX.wire_scores(packets)))
 
 

@@ -60,12 +60,12 @@ def without_contexts(flows: DataFrame) -> DataFrame:
 
 
 def report_rows(flows: DataFrame, limits: V.Limits = V.Limits(),
-                actions: dict[str, list[str]] | None = None) -> DataFrame:
-    """The eight report fields, plus capture and first arrival for ordering."""
+                actions: dict[str, list[str]] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The eight report fields, plus capture, first arrival for ordering, and ``keep``."""
     judged = V.with_root_cause(flows, limits)
     findings = F.col("findings")
     return judged.select(
-        "capture", F.col("first")["arrival"].alias("first_seen"),
+        *(keep or []), "capture", F.col("first")["arrival"].alias("first_seen"),
         key_text().alias("flow"), "packets", "anomaly_score",
         V.anomaly_flag(F.col("anomaly_score"), limits.anomaly_threshold).alias("anomaly"),
         findings.alias("mismatch_findings"), (F.size(findings) > 0).alias("mismatch_detected"),

@@ -77,7 +77,11 @@ SELECT event_type AS capture, event_id, value / 500 AS score FROM {events}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. One read as fewer splits than there are cores (a single small file)
+    is dealt out first; a table of many splits is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:

@@ -22,6 +22,7 @@ from flowloom.functions.frames import header_fields
 
 CHUNK_BYTES = 64 << 20
 READ_BUFFER = 4 << 20
+BATCH_BYTES = 16 << 20
 
 # File magic numbers, little-endian view, to (byte order, ticks per second).
 PCAP_MAGIC = {0xA1B2C3D4: ("<", 10**6), 0xD4C3B2A1: (">", 10**6),
@@ -174,12 +175,13 @@ FRAME_COLUMNS = ["capture", "frame_no", "ts_us", "link_type", "frame"]
 
 
 def _frame_batches(f: BinaryIO, row: dict, batch_rows: int) -> Iterator[pd.DataFrame]:
-    out = []
+    out, held = [], 0
     for number, ts, link, data in chunk_frames(f, row):
         out.append((row["capture"], number, ts, link, data))
-        if len(out) == batch_rows:
+        held += len(data)
+        if len(out) == batch_rows or held >= BATCH_BYTES:
             yield pd.DataFrame(out, columns=FRAME_COLUMNS)
-            out = []
+            out, held = [], 0
     if out:
         yield pd.DataFrame(out, columns=FRAME_COLUMNS)
 

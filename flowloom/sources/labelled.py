@@ -9,6 +9,7 @@ from flowloom import schema as S
 from flowloom.functions import tokens as K
 from flowloom.operators.lookups import lookup_join
 from flowloom.operators.ranks import sorted_rank
+from flowloom.session import materialize
 
 
 def read_labelled_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -71,10 +72,13 @@ def with_proxy_packets(examples: DataFrame, max_len: int = S.PAYLOAD_MAX_LEN) ->
 
 def read_labelled_flows(spark: SparkSession, train_csv: str, test_csv: str | None = None,
                         max_rows: int | None = None, **columns: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """(train, test, dictionary) from CSV files; ``max_rows`` is a row cap of the caller's."""
+    """(train, test, dictionary) from CSV files; ``max_rows`` is a row cap of the caller's.
+
+    A capped table is stored, so that dictionary and examples see the same rows.
+    """
     def load(path: str) -> DataFrame:
         table = read_labelled_csv(spark, path)
-        return table if max_rows is None else table.limit(max_rows)
+        return table if max_rows is None else materialize(table.limit(max_rows), "capped")
 
     train = load(train_csv)
     dictionary = protocol_dictionary(train, columns.get("proto_col", "proto"))

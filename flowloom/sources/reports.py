@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REPORT_FIELDS = ["flow", "packets", "anomaly_score", "anomaly", "mismatch_findings",
                  "mismatch_detected", "root_cause", "suggested_actions"]
 
 
-def report_json(reports: DataFrame) -> DataFrame:
+def report_json(reports: DataFrame, keep: list[str | Column] | None = None) -> DataFrame:
     """One JSON text per flow; the columns before it order and group the reports."""
-    return reports.select("capture", "first_seen", "flow", F.to_json(F.struct(*REPORT_FIELDS)).alias("json"))
+    return reports.select(*(keep or []), "capture", "first_seen", "flow", F.to_json(F.struct(*REPORT_FIELDS)).alias("json"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -105,6 +105,7 @@ ORACLES = {
         round(quantile_cont(score, 0.95), 6) AS score_p95 FROM sc""",
     "score_summary": f"""WITH {CS} SELECT capture, round(min(score), 6) AS min_score, round(quantile_cont(score, 0.5), 6) AS median_score,
         round(max(score), 6) AS max_score, count(*) FILTER (WHERE score > 0.5) AS n_flagged, count(*) AS n_flows FROM cs GROUP BY capture""",
+    "anomaly_flag": f"WITH {SC} SELECT flow_id, score, score > 0.5 AS anomaly FROM sc",
     "softmax": f"""WITH {LG}, s AS (SELECT vec_id, {EXPS} AS e FROM lg), g AS (SELECT vec_id, e, unnest(range(0, len(e))) AS i FROM s)
         SELECT vec_id, CAST(i AS INT) AS class_id, round(e[i + 1] / list_sum(e), 6) AS p FROM g""",
     "weighted_loss": f"""WITH {LG}, {weights('label', 'lg', 10)}, l AS (SELECT {CE} AS ce, weight FROM lg JOIN wt USING (label))
