@@ -308,9 +308,8 @@ def flow_features(spark, sf):
 
 
 def _split_flows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    path = scratch_path(spark, "flow-table")
-    FT.write_flows(_flows(spark, sf), path)
-    split = materialize(B.train_val_split(FT.read_flows(spark, path), S.SHARD_KEY), "split")
+    flows = materialize(_flows(spark, sf), "flows")
+    split = materialize(B.train_val_split(flows, S.SHARD_KEY), "split")
     return split.filter("is_train"), split.filter("NOT is_train")
 
 
