@@ -14,18 +14,42 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.near_dedup import near_classes
+
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.lm_scoring import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.packing import pack_documents
 
     return pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.toxicity import score_texts
+
+    return score_texts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.exact_dedup import find_copies
 
     return find_copies(read(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.mixing import sampling_plan
+
+    return sampling_plan(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.token_counts import count_tokens
 
@@ -33,7 +57,29 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {q.__name__: q for q in (op3_packing, op6_exact_dedup, op8_token_counts)}
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.private_data import find_private, span_texts
+
+    found = find_private(read(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")),
+                        F.sha2(span_texts(F.col("base")), 256).alias("base_sha256"),
+                        span_texts(F.concat(F.col("base"), F.transform("added", lambda s: s.dropFields("probability"))))
+                        .alias("spans"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.neighbours import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_near_dedup, op2_lm_scoring, op3_packing, op4_toxicity, op6_exact_dedup, op7_mixing, op8_token_counts,
+    op9_private_data, op10_neighbours)}
 
 # Texts equal when A-Z are lower-cased; the largest identifier stays.
 ORACLES = {
