@@ -12,17 +12,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.ranks import hashed_rank, sorted_rank
+from flowloom.functions.text import exact_round
+from flowloom.operators.ranks import hashed_rank, seeded_prefix, sorted_rank
 from flowloom.schema import MAX_PACKETS_PER_FLOW
+from flowloom.session import materialize
 
 
 # --- splits and batches ---------------------------------------------------------------
 
 def train_val_split(flows: DataFrame, keys: list[str], val_fraction: float = 0.1, seed: int = 0) -> DataFrame:
-    """Add ``is_train``: exactly ``int(n * (1 - val_fraction))`` flows in seeded order."""
-    ranked = hashed_rank(flows, keys, seed)
-    cut = flows.select(F.floor(F.count(F.lit(1)) * F.lit(1.0 - val_fraction)).cast("bigint")).scalar()
-    return ranked.withColumn("is_train", F.col("rank") < cut).drop("rank")
+    """Add ``is_train``: exactly ``int(n * (1 - val_fraction))`` flows in seeded order.
+
+    Only keys are stored and ranked, and of them only those around the cut; the flows themselves stay where they are.
+    """
+    stored = materialize(flows.select(*keys), "split-keys")
+    n_train = int(stored.count() * (1.0 - val_fraction))
+    return flows.withColumn("is_train", seeded_prefix(stored, keys, n_train, seed))
 
 
 def assign_batches(flows: DataFrame, keys: list[str], batch_size: int, shuffle: bool = True, seed: int = 0,
@@ -262,6 +267,6 @@ def padding_report(flows: DataFrame, strategy: str = "bucket", num_buckets: int
     return totals.select(
         "n_examples", F.lit(",".join(map(str, edges))).alias("buckets"), F.lit(strategy).alias("strategy"),
         n_batches.alias("n_batches"), "distinct_shapes", real, naive, packed,
-        F.bround(share(real, naive), 4).alias("naive_efficiency"),
-        F.bround(share(real, packed), 4).alias("packed_efficiency"),
-        F.bround(1.0 - share(packed, naive), 4).alias("padding_reduction"))
+        exact_round(share(real, naive), 4).alias("naive_efficiency"),
+        exact_round(share(real, packed), 4).alias("packed_efficiency"),
+        exact_round(1.0 - share(packed, naive), 4).alias("padding_reduction"))

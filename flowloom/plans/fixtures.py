@@ -68,7 +68,8 @@ SELECT o_orderkey AS flow_id, CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000
 """
 
 CLASS_LOGITS = """
-SELECT vec_id, label, {slice}(embedding, 1, 10) AS logits FROM {embeddings}
+SELECT vec_id, label, {list}(""" + ", ".join(
+    " + ".join(f"{{item}}(embedding, {i})" for i in range(k, 65, 10)) for k in range(1, 11)) + """) AS logits FROM {embeddings}
 """
 
 CAPTURE_SCORES = """
@@ -85,7 +86,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
-    text = text.replace("{enc}", "encode(text, 'UTF-8')").replace("{slice}", "slice")
+    text = text.replace("{enc}", "encode(text, 'UTF-8')").replace("{list}", "array").replace("{item}", "element_at")
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
 
 
@@ -108,11 +109,11 @@ def wire_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wire_scores(packets: DataFrame) -> DataFrame:
-    """A score per wire flow from its first arrival number, in thousandths."""
+    """A score per wire flow from its first arrival number, in steps that meet ties at 2, 3 and 4 decimals."""
     from flowloom.schema import FLOW_KEY
 
     return (packets.groupBy(*FLOW_KEY).agg(F.min("arrival").alias("_a"))
-            .withColumn("score", ((F.col("_a") * 7919) % 1000).cast("double") / 1000).drop("_a"))
+            .withColumn("score", ((F.col("_a") * 7919) % 20000).cast("double") / 20000).drop("_a"))
 
 
 def flow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,8 +93,8 @@ ORACLES = {
         nb AS (SELECT CAST(sum(ceil(c / CAST(64 AS DOUBLE))) AS BIGINT) AS n_batches FROM (SELECT edge, count(*) AS c FROM p GROUP BY edge))
         SELECT n_examples, array_to_string(l, ',') AS buckets, 'bucket' AS strategy, n_batches, shapes AS distinct_shapes,
         real AS real_packet_tokens, naive AS naive_padded_tokens, packed AS packed_padded_tokens,
-        round_even(real / CAST(naive AS DOUBLE), 4) AS naive_efficiency, round_even(real / CAST(packed AS DOUBLE), 4) AS packed_efficiency,
-        round_even(1.0 - packed / CAST(naive AS DOUBLE), 4) AS padding_reduction FROM t, nb, edges""",
+        CAST(printf('%.4f', real / CAST(naive AS DOUBLE)) AS DOUBLE) AS naive_efficiency, CAST(printf('%.4f', real / CAST(packed AS DOUBLE)) AS DOUBLE) AS packed_efficiency,
+        CAST(printf('%.4f', 1.0 - packed / CAST(naive AS DOUBLE)) AS DOUBLE) AS padding_reduction FROM t, nb, edges""",
     "accuracy": f"WITH {PRED} SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM pr",
     "macro_f1": f"WITH {PRED}, {f1('pr', 12)} SELECT round(avg({F1}), 6) AS macro_f1 FROM f1",
     "class_recall": f"""WITH {PRED}, {f1('pr', 10)} SELECT class_id, tp, fp, fn,

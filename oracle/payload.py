@@ -93,6 +93,13 @@ ORACLES = {
     "decode_captures": """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 3) THEN CAST(octet_length(encode(text)) AS INT) END AS n_bytes,
         CASE WHEN doc_id % 5 IN (0, 1, 3) THEN md5(hex(encode(text))) END AS content_md5, doc_id % 5 IN (2, 4) AS failed FROM documents""",
     "read_captures": f"WITH {FRAMES} SELECT 1700000000000000 + event_id AS ts_us, {FRAME_COLUMNS}, ip_checksum_ok, l4_ok AS l4_checksum_ok FROM fr",
+    "capture_errors": """SELECT DISTINCT event_id // 200 AS file, CASE WHEN (event_id // 200) % 6 = 4 THEN 'broken block'
+        ELSE 'not a capture file' END AS reason FROM events WHERE (event_id // 200) % 6 >= 4""",
+    "capture_frame_counts": """SELECT event_id // 200 AS file, count(*) AS n_frames, count(*) - 1 AS last_frame FROM events
+        WHERE (event_id // 200) % 6 < 4 GROUP BY event_id // 200""",
+    "ingest_job": f"""WITH {PACKETS} SELECT 'done before' AS status, CAST(0 AS BIGINT) AS n_rows
+        UNION ALL SELECT 'written', count(*) FROM pk WHERE packet_id % 3 > 0
+        UNION ALL SELECT 'flows', count(*) FROM (SELECT DISTINCT packet_id % 3, flow_id FROM pk)""",
     "ipv4_only": f"""WITH {WIRE} SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 228 WHEN 1 THEN 101 ELSE 1 END AS INT) AS link_type,
         '45' AS first_byte FROM wire WHERE event_id % 53 <> 0""",
     "header_fields": f"WITH {FRAMES} SELECT event_id, {FRAME_COLUMNS} FROM fr",

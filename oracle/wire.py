@@ -7,7 +7,7 @@ from flowloom.plans import fixtures as FX
 
 
 def fill(text: str) -> str:
-    out = text.replace("{enc}", "encode(text)").replace("{slice}", "list_slice")
+    out = text.replace("{enc}", "encode(text)").replace("{list}", "list_value").replace("{item}", "list_extract")
     for t in ("documents", "labels", "events", "lineitem", "orders", "embeddings"):
         out = out.replace("{" + t + "}", t)
     return out
@@ -40,7 +40,14 @@ capped AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY flow OR
     FROM wire) WHERE idx < 16),
 score AS (SELECT flow, any_value(src) AS src, any_value(dst) AS dst, any_value(dport) AS dport,
     min(event_id) AS first_seen, count(*) AS packets,
-    CAST((min(event_id) * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM wire GROUP BY flow)"""
+    CAST((min(event_id) * 7919) % 20000 AS DOUBLE) / 20000 AS score FROM wire GROUP BY flow)"""
+
+
+FROM_TABLE = f"({fill(FX.WIRE_PACKETS)})"
+# As read from capture files: every 53rd frame is IPv6, and protocol 1 has neither ports nor a transport checksum.
+FROM_FILES = f"""(SELECT * REPLACE (CASE WHEN proto = 1 THEN 0 ELSE sport END AS sport, CASE WHEN proto = 1 THEN 0 ELSE dport END AS dport,
+    l4_checksum_ok OR proto = 1 AS l4_checksum_ok, CASE flags WHEN 'RS' THEN 'SR' ELSE flags END AS flags)
+    FROM {FROM_TABLE} WHERE event_id % 53 <> 0)"""
 
 
 def findings(key: str, capped: str, name: str) -> str:
@@ -131,7 +138,7 @@ report AS (SELECT j.flow, j.first_seen, j.packets, round(j.score, 6) AS anomaly_
          WHEN cause IS NOT NULL THEN least(CAST(0.97 AS DOUBLE), 0.5 + 0.12 * freq + 0.1 * sevrank)
          WHEN score >= 0.5 THEN score ELSE 1.0 - score END, 6) AS confidence,
     CASE WHEN n_pairs >= 8 THEN concat('Source ', src, ' touched ', n_pairs, ' distinct destination ports across the capture (>= 8) => reconnaissance / port-scan pattern.')
-         WHEN j.tag = 'syn_flood_dos' THEN concat('Target received ', dpk, ' packets from ', n_sources, ' distinct source (ip, port) pairs, ', CAST(round_even(ratio * 100, 0) AS INT), '% bare-SYN with no completed handshake => SYN-flood / connection-exhaustion pattern.')
+         WHEN j.tag = 'syn_flood_dos' THEN concat('Target received ', dpk, ' packets from ', n_sources, ' distinct source (ip, port) pairs, ', printf('%.0f', ratio * 100), '% bare-SYN with no completed handshake => SYN-flood / connection-exhaustion pattern.')
          WHEN cause IS NOT NULL THEN concat(freq, ' structural finding(s) map to ''', l.label, ''': ', quoted)
          WHEN score >= 0.5 THEN concat('No structural rule matched, but the model''s P(anomaly) = ', printf('%.3f', score), ' >= threshold 0.50; flagging for manual review — this is the model''s learned judgement, not a rule.')
          ELSE concat('No structural findings and P(anomaly) = ', printf('%.3f', score), ' is below threshold 0.50.') END AS reasoning,
@@ -173,7 +180,7 @@ def _text() -> str:
         count(*) AS n FROM found GROUP BY k)"""
     return f"""WITH {ALL}, {per_finding}
 SELECT r.flow, concat(CASE WHEN anomaly THEN '[ANOMALY]' ELSE '[NORMAL] ' END, ' score=', printf('%.4f', anomaly_score), ' | ', r.flow,
-    ' | packets=', packets, chr(10), '  root cause : ', label, ' (tag=', tag, ', confidence=', printf('%.2f', round_even(confidence, 2)), ')', chr(10),
+    ' | packets=', packets, chr(10), '  root cause : ', label, ' (tag=', tag, ', confidence=', printf('%.2f', confidence), ')', chr(10),
     '    reason   : ', reasoning, chr(10),
     CASE WHEN n IS NULL THEN '  mismatches : none' ELSE concat('  mismatches : ', n, ' finding(s)', chr(10), body) END, chr(10),
     '  suggested actions:', chr(10), '    - ', replace(actions, ' | ', concat(chr(10), '    - '))) AS text
@@ -184,7 +191,7 @@ ORACLES = {
     "flow_key": f"WITH {WIRE} SELECT event_id, flow FROM wire",
     "plain_scores": f"WITH {WIRE} SELECT flow, score, score > 0.5 AS anomaly, packets FROM score",
     "score_records_join": f"""WITH {WIRE}, n AS (SELECT flow, count(*) AS n FROM capped GROUP BY flow),
-        s AS (SELECT score, CASE WHEN CAST(round(score * 1000) AS INT) % 7 = 0 THEN
+        s AS (SELECT score, CASE WHEN CAST(round(score * 20000) AS INT) % 7 = 0 THEN
               regexp_replace(flow, 'proto [0-9]+', concat('proto ', 100 + CAST(regexp_extract(flow, 'proto ([0-9]+)', 1) AS INT)))
               ELSE flow END AS flow FROM score)
         SELECT s.flow, round(score, 6) AS score, coalesce(n.n, 0) AS n_records FROM s LEFT JOIN n USING (flow)""",
@@ -241,5 +248,14 @@ ORACLES = {
     "rca_contributing": f"WITH {ALL} SELECT flow, tag, contributing FROM report",
     "diagnose_flows": f"WITH {ALONE} SELECT {REPORT_COLUMNS} FROM report",
     "diagnose_captures": f"WITH {ALL} SELECT {REPORT_COLUMNS} FROM report",
+    "diagnose_capture_files": f"WITH {ALL.replace(FROM_TABLE, FROM_FILES, 1)} SELECT {REPORT_COLUMNS} FROM report",
+    "response_envelopes": f"""WITH {WIRE.replace(FROM_TABLE, FROM_FILES, 1)},
+n AS (SELECT event_id // 200 AS request, count(DISTINCT flow) AS n_flows FROM wire GROUP BY 1),
+r AS (SELECT DISTINCT event_id // 200 AS request FROM events)
+SELECT CAST(request AS VARCHAR) AS request, CASE WHEN request % 3 < 2 THEN 'wire' END AS model,
+    CASE WHEN request % 3 < 2 THEN coalesce(n_flows, 0) END AS n_flows,
+    CASE WHEN request % 3 < 2 THEN CAST(coalesce(n_flows, 0) > 7 AS VARCHAR) END AS truncated, request % 3 = 2 AS failed,
+    CAST(CASE WHEN request % 3 < 2 THEN least(coalesce(n_flows, 0), 7) ELSE 0 END AS INT) AS n_results
+FROM r LEFT JOIN n USING (request)""",
     "text_report": _text(),
 }

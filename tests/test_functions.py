@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from flowloom.dimensions import PROTOCOL_NUMBERS
@@ -113,6 +115,12 @@ def test_flags(spark):
                    (False, True, "RS"), (False, False, "FRS"), (False, False, "")]
 
 
-def test_numbers_round_ties_to_even(spark):
-    rows = values(spark, [(0.125,), (0.375,), (0.905,)], "x DOUBLE", X.percent(c("x")), X.fixed(c("x"), 2))
-    assert rows == [("12%", "0.12"), ("38%", "0.38"), ("90%", "0.90")]
+def test_numbers_print_the_exact_binary_value(spark):
+    rng = random.Random(1)
+    numbers = [0.125, 0.375, 0.905, 0.665, 0.995, 0.0005, 0.335, 0.0, 1.0, 2.5, -0.665, 123456.785]
+    numbers += [round(rng.random() * 10 ** rng.randrange(4), rng.randrange(1, 6)) for _ in range(3000)]
+    numbers += [rng.randrange(10 ** 6) / 2 ** rng.randrange(1, 20) for _ in range(1000)]
+    rows = values(spark, [(x,) for x in numbers], "x DOUBLE", X.percent(c("x")), *[X.fixed(c("x"), n) for n in (2, 3, 4)],
+                  X.exact_round(c("x"), 4))
+    for x, row in zip(numbers, rows, strict=True):
+        assert row == (f"{x:.0%}", f"{x:.2f}", f"{x:.3f}", f"{x:.4f}", round(x, 4)), x
