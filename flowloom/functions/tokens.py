@@ -53,11 +53,14 @@ def port_bucket(port: Column) -> Column:
 
 
 def protocol_number(protocol: Column) -> Column:
-    """Number, digit string or name to the protocol number; unknown names hash into 256..511."""
+    """Number, digit string or name to the protocol number; unknown names hash into 256..511. A column of whole
+    numbers is taken as it is, negative ones too."""
     s = F.coalesce(strip_lower(protocol), F.lit("none"))
     digits = F.when(s.rlike("^[0-9]+(\\.0+)?$"), F.split_part(s, F.lit("."), F.lit(1)).try_cast("bigint"))
     hashed = F.conv(F.substring(F.md5(s), 1, 2), 16, 10).cast("bigint") + 256
-    return F.coalesce(digits, lookup(PROTOCOL_NUMBERS, s).cast("bigint"), hashed)
+    whole = F.when(F.typeof(protocol).isin("tinyint", "smallint", "int", "bigint"),
+                   protocol.cast("string").try_cast("bigint"))
+    return F.coalesce(whole, digits, lookup(PROTOCOL_NUMBERS, s).cast("bigint"), hashed)
 
 
 def protocol_id(number: Column, vocab: int = S.PROTO_VOCAB) -> Column:

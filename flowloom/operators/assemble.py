@@ -56,7 +56,8 @@ def cap_flows(flows: DataFrame, max_flows: int) -> DataFrame:
 
 
 def cap_rows(table: DataFrame, order: list[str], max_rows: int) -> DataFrame:
-    return table.orderBy(*order).limit(max_rows)
+    """The first ``max_rows`` rows; ``order`` must be unique."""
+    return first_n(table, [], order, max_rows)
 
 
 def with_tokens(flows: DataFrame, max_packets: int = S.MAX_PACKETS_PER_FLOW,

@@ -89,7 +89,7 @@ def score_counts(scored: DataFrame) -> DataFrame:
 
 def _auc() -> Column:
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
-    p, n = F.sum("pos"), F.sum("neg")
+    p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")  # their product passes 64 bits
     return F.when((p > 0) & (n > 0), wins / (p * n)).otherwise(F.lit(float("nan"))).alias("auc")
 
 

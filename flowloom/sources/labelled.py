@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowloom import schema as S
 from flowloom.functions import tokens as K
 from flowloom.operators.lookups import lookup_join
-from flowloom.operators.ranks import sorted_rank
+from flowloom.operators.ranks import first_n, sorted_rank
 from flowloom.session import materialize
 
 
@@ -70,15 +70,23 @@ def with_proxy_packets(examples: DataFrame, max_len: int = S.PAYLOAD_MAX_LEN) ->
     return examples.withColumn("packets", packets).withColumn("headers", headers)
 
 
+def first_rows(table: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of files in the order of their names and lines. A file split starts at its block, and
+    inside a split identifiers rise with the lines."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+             F.monotonically_increasing_id().alias("_line")]
+    return first_n(table.select("*", *place), [], ["_file", "_block", "_line"], n).drop("_file", "_block", "_line")
+
+
 def read_labelled_flows(spark: SparkSession, train_csv: str, test_csv: str | None = None,
                         max_rows: int | None = None, **columns: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """(train, test, dictionary) from CSV files; ``max_rows`` is a row cap of the caller's.
 
-    A capped table is stored, so that dictionary and examples see the same rows.
+    Those are the first rows in file and line order. A capped table is stored, so that dictionary and examples see the same rows.
     """
     def load(path: str) -> DataFrame:
         table = read_labelled_csv(spark, path)
-        return table if max_rows is None else materialize(table.limit(max_rows), "capped")
+        return table if max_rows is None else materialize(first_rows(table, max_rows), "capped")
 
     train = load(train_csv)
     dictionary = protocol_dictionary(train, columns.get("proto_col", "proto"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROWS_PER_FILE = 1_000_000
 REPORT_FIELDS = ["flow", "packets", "anomaly_score", "anomaly", "mismatch_findings",
                  "mismatch_detected", "root_cause", "suggested_actions"]
 
@@ -15,4 +16,6 @@ def report_json(reports: DataFrame, keep: list[str | Column] | None = None) -> D
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    reports.select("capture", *REPORT_FIELDS).write.partitionBy("capture").json(path)
+    """One folder per capture; captures are dealt out by range first, so each lies in few files."""
+    (reports.select("capture", *REPORT_FIELDS).repartitionByRange("capture", "flow")
+     .write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("capture").json(path))
