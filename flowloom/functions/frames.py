@@ -18,9 +18,12 @@ from flowloom.functions.signatures import hex_at, uint_at
 from flowloom.schema import TCP, UDP
 
 # Link types, EtherTypes and flag letters (lowest bit first).
-LINK_NULL, LINK_ETHERNET, LINK_RAW_BSD, LINK_RAW, LINK_SLL, LINK_IPV4, LINK_SLL2 = 0, 1, 12, 101, 113, 228, 276
+LINK_NULL, LINK_ETHERNET, LINK_RAW_BSD, LINK_RAW, LINK_LOOP = 0, 1, 12, 101, 108
+LINK_SLL, LINK_IPV4, LINK_SLL2 = 113, 228, 276
 ETHERTYPE_IPV4 = 0x0800
 ETHERTYPES_VLAN = [0x8100, 0x88A8]
+ETHERTYPE_MPLS, ETHERTYPE_PPPOE, PPP_IPV4 = 0x8847, 0x8864, 0x0021
+MPLS_LABELS = 4
 FLAG_LETTERS = "FSRPAUECN"
 
 
@@ -32,12 +35,20 @@ def ip_offset(frame: Column, link_type: Column) -> Column:
     def kind_is(at: int, *kinds: int) -> Column:
         return hex_at(frame, at, 2).isin([f"{k:04X}" for k in kinds])
 
+    # The bottom label has the lowest bit of its third byte set; an IPv4 header must follow.
+    mpls = F.lit(None).cast("int")
+    for k in reversed(range(MPLS_LABELS)):
+        bottom = F.substring(hex_at(frame, 14 + 4 * k + 2, 1), 2, 1).isin(*"13579BDF")
+        version = F.substring(hex_at(frame, 18 + 4 * k, 1), 1, 1) == "4"
+        mpls = F.when(bottom, F.when(version, 18 + 4 * k)).otherwise(mpls)
     tagged, twice = kind_is(12, *ETHERTYPES_VLAN), kind_is(16, *ETHERTYPES_VLAN)
     return (F.when(link_type.isin(LINK_RAW, LINK_IPV4, LINK_RAW_BSD), 0)
             .when((link_type == LINK_ETHERNET) & kind_is(12, ETHERTYPE_IPV4), 14)
             .when((link_type == LINK_ETHERNET) & tagged & kind_is(16, ETHERTYPE_IPV4), 18)
             .when((link_type == LINK_ETHERNET) & tagged & twice & kind_is(20, ETHERTYPE_IPV4), 22)
-            .when(link_type == LINK_NULL, 4)
+            .when((link_type == LINK_ETHERNET) & kind_is(12, ETHERTYPE_PPPOE) & kind_is(20, PPP_IPV4), 22)
+            .when((link_type == LINK_ETHERNET) & kind_is(12, ETHERTYPE_MPLS), mpls)
+            .when(link_type.isin(LINK_NULL, LINK_LOOP), 4)
             .when((link_type == LINK_SLL) & kind_is(14, ETHERTYPE_IPV4), 16)
             .when((link_type == LINK_SLL2) & kind_is(0, ETHERTYPE_IPV4), 20)
             .cast("int"))
@@ -54,9 +65,15 @@ def ipv4_only(frames: DataFrame) -> DataFrame:
 @F.pandas_udf(T.LongType())
 def word_sum(data: pd.Series) -> pd.Series:
     """Sum of big-endian 16-bit words; an odd last byte is padded with zero."""
-    def one(raw: bytes) -> int:
-        return int(np.frombuffer(raw if len(raw) % 2 == 0 else raw + b"\0", dtype=">u2").sum(dtype=np.int64))
-    return data.map(one, na_action="ignore").astype("Int64")
+    there = data.notna()
+    # All segments of a batch in one buffer, each followed by a zero word so that none is empty.
+    padded = [raw + (b"\0\0" if len(raw) % 2 == 0 else b"\0\0\0") for raw in data[there]]
+    sums = pd.Series(pd.NA, index=data.index, dtype="Int64")
+    if padded:
+        words = np.frombuffer(b"".join(padded), dtype=">u2").astype(np.int64)
+        sizes = np.array([len(p) // 2 for p in padded])
+        sums[there] = np.add.reduceat(words, np.cumsum(sizes) - sizes)
+    return sums
 
 
 def header_word_sum(data: Column, start: int, stop: int) -> Column:

@@ -17,6 +17,7 @@ from flowloom.operators import prepare as B
 from flowloom.plans import diagnose as P
 from flowloom.plans import fixtures as FX
 from flowloom.plans import frames_fixture as FF
+from flowloom.plans.ingest import ingest
 from flowloom.session import materialize, scratch_path
 from flowloom.sources import captures as C
 from flowloom.sources import flow_tables as FT
@@ -50,13 +51,18 @@ def _payload_hash(packets: Column) -> Column:
 
 # --- sources --------------------------------------------------------------------------
 
-def read_payload_packets(spark, sf):
-    """The wide table of one column per byte, written and read back."""
+def _wide(packets: DataFrame) -> DataFrame:
+    """One column per payload byte, as the files have it."""
     cells = [F.conv(F.substring("payload_hex", 2 * i - 1, 2), 16, 10).cast("smallint").alias(f"payload_byte_{i}")
              for i in range(1, S.PAYLOAD_MAX_LEN + 1)]
     spare = F.lit(255).cast("smallint").alias(f"payload_byte_{S.PAYLOAD_MAX_LEN + 1}")
+    return packets.select(*S.META_COLUMNS, *cells, spare)
+
+
+def read_payload_packets(spark, sf):
+    """The wide table of one column per byte, written and read back."""
     path = scratch_path(spark, "payload-bytes")
-    _packets(spark, sf).select(*S.META_COLUMNS, *cells, spare).write.parquet(path)
+    _wide(_packets(spark, sf)).write.parquet(path)
     return PK.read_payload_packets(spark, path).select(
         "packet_id", "flow_id", "source_port", "destination_port", "protocol",
         c("payload_length").cast("bigint").alias("payload_length"), "attack_label", F.hex("payload").alias("payload_hex"))
@@ -129,6 +135,43 @@ def read_captures(spark, sf):
                           F.hex("payload").alias("payload_hex"), "ip_checksum_ok", "l4_checksum_ok")
 
 
+def _file(name: str = "capture") -> Column:
+    return F.regexp_extract(name, "f([0-9]+)\\.cap$", 1).cast("bigint").alias("file")
+
+
+def capture_errors(spark, sf):
+    """One row per file that can't be read, with the kind of its error."""
+    _, errors = C.read_captures(spark, FF.mixed_capture_folder(spark, sf), on_error="keep")
+    return errors.select(_file(), F.when(c("error").contains("block length"), "broken block")
+                         .when(c("error").contains("not a capture file"), "not a capture file")
+                         .otherwise(c("error")).alias("reason"))
+
+
+def capture_frame_counts(spark, sf):
+    """Frames per readable file: classic, newer, old packet blocks, compressed."""
+    index = C.index_captures(spark, FF.mixed_capture_folder(spark, sf), chunk_bytes=1 << 12)
+    return (C.read_frames(index).groupBy("capture").agg(F.count(F.lit(1)).alias("n_frames"),
+                                                         F.max("frame_no").alias("last_frame"))
+            .select(_file(), "n_frames", "last_frame"))
+
+
+def ingest_job(spark, sf):
+    """Two of three sets of files are new, one was ingested before."""
+    rows = _wide(_packets(spark, sf))
+    names = []
+    for part in range(3):
+        path = scratch_path(spark, f"payload-part{part}")
+        rows.filter(c("packet_id") % 3 == part).repartitionByRange("flow_id").write.parquet(path)
+        names.append(list(spark.read.parquet(path).inputFiles()))
+    out = scratch_path(spark, "flow-table")
+    ingest(spark, names[0], out)
+    done = ingest(spark, [n for part in names for n in part], out)
+    flows = FT.read_flows(spark, out).agg(F.lit("flows").alias("status"), F.count(F.lit(1)).alias("n_rows"))
+    status = F.when(c("status").startswith("No rows"), "failed").otherwise(c("status"))
+    counts = done.groupBy(status.alias("status")).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+    return counts.filter("status <> 'failed'").unionByName(flows)
+
+
 def ipv4_only(spark, sf):
     return FR.ipv4_only(FF.wire_frames(spark, sf)).select(
         c("frame_no").alias("event_id"), "link_type", F.hex(F.substring("ip", 1, 1)).alias("first_byte"))
@@ -359,12 +402,12 @@ def ceiling_probe(spark, sf):
         F.ascii("o_orderpriority").alias("proto"))
     split = B.train_val_split(rows, ["o_orderkey"])
     return DT.ceiling_probe(split.filter("is_train"), split.filter("NOT is_train"),
-                            ["cust_mod", "price", "npkts", "proto"], ["npkts", "proto"], max_iter=3)
+                            ["cust_mod", "price", "npkts", "proto"], ["npkts", "proto"])
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     read_payload_packets, packets_by_source, empty_sources, flow_table_roundtrip, merge_flows, pending_sources,
-    ingest_profile, total_flows, decode_captures, read_captures, ipv4_only, header_fields, ip_checksum, l4_checksum,
+    ingest_profile, total_flows, decode_captures, read_captures, capture_errors, capture_frame_counts, ingest_job, ipv4_only, header_fields, ip_checksum, l4_checksum,
     payload_cut, label_binary, class_id, port_bucket, protocol_number, proto_id, tokenize, first_packets,
     assemble_flows, flow_metadata, header_vector, flow_packet_counts, flow_tokens, real_packet_count, class_balance,
     attack_rate, cap_flows, cap_rows, labelled_flows, protocol_dictionary, derived_packets, proxy_bytes,

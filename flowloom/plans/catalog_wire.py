@@ -17,6 +17,8 @@ from flowloom.operators import verdicts as V
 from flowloom.operators.lookups import lookup_join
 from flowloom.plans import diagnose as P
 from flowloom.plans import fixtures as FX
+from flowloom.plans import frames_fixture as FF
+from flowloom.plans import requests as RQ
 from flowloom.session import materialize
 from flowloom.sources.reports import report_json
 
@@ -67,7 +69,7 @@ def score_records_join(spark, sf):
     packets = FX.wire_packets(spark, sf)
     scores = FX.wire_scores(packets)
     # Some scores name a flow that was never captured.
-    scores = scores.withColumn("proto", F.when(c("score") * 1000 % 7 == 0, c("proto") + 100).otherwise(c("proto")))
+    scores = scores.withColumn("proto", F.when(F.round(c("score") * 20000).cast("int") % 7 == 0, c("proto") + 100).otherwise(c("proto")))
     table = P.scored_flow_table(packets, scores).filter(c("anomaly_score").isNotNull())
     return table.select(P.key_text().alias("flow"), F.round("anomaly_score", 6).alias("score"),
                         F.coalesce("n_packets", F.lit(0)).cast("bigint").alias("n_records"))
@@ -261,6 +263,30 @@ def text_report(spark, sf):
     return P.text_report(_reports(spark, sf)).select("flow", "text")
 
 
+def diagnose_capture_files(spark, sf):
+    """Capture files to reports: the same reports as from the packet table they were written from."""
+    def scorer(packets: DataFrame) -> DataFrame:
+        return FX.wire_scores(packets.withColumn("arrival", c("arrival") - FF.FIRST_TS))
+
+    return _flat(P.diagnose_files(spark, FF.capture_folder(spark, sf), scorer, merged="all"))
+
+
+def response_envelopes(spark, sf):
+    """Requests with their own limits to one JSON answer each; every third carries no capture."""
+    frames = FF.wire_frames(spark, sf).withColumn("request", F.floor(c("frame_no") / FF.FRAMES_PER_FILE))
+    requests = FF.request_captures(frames).select(
+        c("request").cast("string").alias("request_id"),
+        F.when(c("request") % 3 == 2, F.encode(F.lit("no capture"), "UTF-8")).otherwise(c("content")).alias("raw"),
+        (c("request") % 2 == 0).alias("diagnose"), F.lit(7).alias("max_flows"))
+    envelopes, results = RQ.answer_requests(requests, lambda p: FX.wire_scores(p), raw="raw", model={"name": "wire"})
+    answers = RQ.responses(envelopes, results)
+    field = lambda name: F.get_json_object("response", f"$.{name}")
+    return answers.select(
+        c("capture").alias("request"), field("model.name").alias("model"), field("n_flows").cast("bigint").alias("n_flows"),
+        field("truncated").alias("truncated"), field("error").isNotNull().alias("failed"),
+        F.size(F.from_json(F.coalesce(field("results"), F.lit("[]")), "array<string>")).alias("n_results"))
+
+
 def report_json_query(spark, sf):
     return report_json(_reports(spark, sf))
 
@@ -289,5 +315,6 @@ QUERIES: dict[str, Query] = {
     "rca_benign": _verdicts("benign", sentence="No structural findings"),
     "rca_reasoning": rca_reasoning, "rca_contributing": rca_contributing,
     "diagnose_flows": diagnose_flows, "diagnose_captures": diagnose_captures,
+    "diagnose_capture_files": diagnose_capture_files, "response_envelopes": response_envelopes,
     "text_report": text_report, "report_json": report_json_query,
 }

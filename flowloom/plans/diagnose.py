@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom import schema as S
@@ -12,8 +14,9 @@ from flowloom.operators import flows as A
 from flowloom.operators import rules as R
 from flowloom.operators import verdicts as V
 from flowloom.operators.lookups import lookup_join
-from flowloom.operators.ranks import first_n
+from flowloom.operators.ranks import first_few
 from flowloom.session import materialize
+from flowloom.sources.captures import read_captures
 
 
 def key_text() -> Column:
@@ -62,7 +65,9 @@ def without_contexts(flows: DataFrame) -> DataFrame:
 def report_rows(flows: DataFrame, limits: V.Limits = V.Limits(),
                 actions: dict[str, list[str]] | None = None, keep: list[str] | None = None) -> DataFrame:
     """The eight report fields, plus capture, first arrival for ordering, and ``keep``."""
-    judged = V.with_root_cause(flows, limits)
+    empty = F.array().cast(f"array<{S.FINDING.simpleString()}>")
+    found = R.with_findings(flows).withColumn("findings", F.coalesce("findings", empty))
+    judged = V.with_root_cause(found, limits)
     findings = F.col("findings")
     return judged.select(
         *(keep or []), "capture", F.col("first")["arrival"].alias("first_seen"),
@@ -74,17 +79,16 @@ def report_rows(flows: DataFrame, limits: V.Limits = V.Limits(),
 
 def scored_flow_table(packets: DataFrame, scores: DataFrame,
                       max_packets: int = S.MAX_PACKETS_PER_FLOW, registry: dict | None = None) -> DataFrame:
-    """Flow summaries with findings, uncapped counts and scores.
+    """Flow summaries with flagged packets, uncapped counts and scores.
 
     A score without packets keeps its row, with no records or findings. A flow without
-    a score keeps its row too: it counts in the contexts but gets no report.
+    a score keeps its row too: it counts in the contexts but gets no report. Rule bits stay
+    numbers here; ``report_rows`` writes the texts, behind all joins.
     """
-    flows = R.with_findings(A.summarize_flows(packets, max_packets=max_packets, registry=registry))
+    flows = A.summarize_flows(packets, max_packets=max_packets, registry=registry)
     counted = flows.join(A.packet_counts(packets), S.FLOW_KEY)
     scored = scores.select(*S.FLOW_KEY, F.col("score").cast("double").alias("anomaly_score"))
-    empty = F.array().cast(f"array<{S.FINDING.simpleString()}>")
     return (scored.join(counted, S.FLOW_KEY, "full")
-            .withColumn("findings", F.coalesce("findings", empty))
             .withColumn("packets", F.coalesce("packets", F.lit(0).cast("bigint"))))
 
 
@@ -105,9 +109,24 @@ def diagnose_captures(packets: DataFrame, scores: DataFrame, limits: V.Limits =
     return report_rows(attach_contexts(flows, limits), limits, actions)
 
 
+def diagnose_files(spark: SparkSession, path: str, scorer: Callable[[DataFrame], DataFrame],
+                   limits: V.Limits = V.Limits(), merged: str | None = None) -> DataFrame:
+    """Reports of all capture files under ``path``; a file that can't be read fails the job.
+
+    Files are decoded once: ``scorer`` turns packets into FLOW_KEY and score, and scores, summaries and counts all
+    read the stored packets. ``merged`` names one capture that all files are parts of, in order of time, as a
+    recorder with a ring of files writes them; else each file is a capture.
+    """
+    packets = read_captures(spark, path)
+    if merged is not None:
+        packets = packets.withColumn("capture", F.lit(merged)).withColumn("arrival", F.col("ts_us"))
+    packets = materialize(packets, "packets")
+    return diagnose_captures(packets, scorer(packets), limits)
+
+
 def cap_reports(reports: DataFrame, max_flows: int = 200) -> DataFrame:
     """First ``max_flows`` reports of each capture in first-seen order."""
-    return first_n(reports, ["capture"], ["first_seen", "flow"], max_flows)
+    return first_few(reports, ["capture"], ["first_seen", "flow"], max_flows)
 
 
 def envelope(reports: DataFrame, max_flows: int = 200, model: Column | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from flowloom.plans.fixtures import wire_packets
 from flowloom.session import materialize, scratch_path
 
 IPV6_EVERY = 53
+FIRST_TS = 1_700_000_000_000_000
 FLAG_BITS = {"F": 1, "S": 2, "R": 4, "P": 8, "A": 16}
 
 
@@ -78,7 +79,7 @@ def wire_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(n % 4 < 2, c("packet"))
              .when(n % 4 == 2, F.concat(macs, F.lit("0800"), c("packet"), F.lit("000000000000")))
              .otherwise(F.concat(macs, F.lit("8100000A0800"), c("packet"))))
-    frames = w.select("capture", n.alias("frame_no"), (F.lit(1_700_000_000_000_000) + n).alias("ts_us"),
+    frames = w.select("capture", n.alias("frame_no"), (F.lit(FIRST_TS) + n).alias("ts_us"),
                       link.cast("int").alias("link_type"), F.unhex(frame).alias("frame"))
     # Stored, so that a later filter is not pushed into (and multiplied by) the steps above.
     return materialize(frames, "frames")
@@ -111,6 +112,73 @@ def write_captures(frames: DataFrame, path: str) -> DataFrame:
     return ordered.mapInPandas(write, "file STRING, n BIGINT")
 
 
+FRAMES_PER_FILE = 200
+FILE_KINDS = 6
+
+
+def _classic_bytes(rows: list[tuple[int, bytes]]) -> bytes:
+    out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
+    for ts, data in rows:
+        out.append(struct.pack("<IIII", ts // 10**6, ts % 10**6, len(data), len(data)) + data)
+    return b"".join(out)
+
+
+def _newer_bytes(rows: list[tuple[int, bytes]], old_blocks: bool, damaged: bool) -> bytes:
+    def block(kind: int, body: bytes) -> bytes:
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+
+    out = [block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)), block(1, struct.pack("<HHI", 1, 0, 65535))]
+    for i, (ts, data) in enumerate(rows):
+        if damaged and i == len(rows) // 2:
+            out.append(struct.pack("<III", 6, 5, 5))
+        times = struct.pack("<IIII", ts >> 32, ts & 0xFFFFFFFF, len(data), len(data))
+        out.append(block(2 if old_blocks else 6, struct.pack("<HH" if old_blocks else "<I", *((0, 0) if old_blocks else (0,)))
+                         + times + data))
+    return b"".join(out)
+
+
+def mixed_capture_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Files of ``FRAMES_PER_FILE`` frames each in six kinds by turns: classic, newer, newer with old packet blocks,
+    compressed, newer with a broken block in its middle, and no capture at all."""
+    path = scratch_path(spark, "mixed-captures")
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        import gzip
+
+        from pyarrow import fs
+
+        number = int(group["file"].iloc[0])
+        group = group.sort_values("frame_no")
+        rows = [(int(ts), bytes(data)) for ts, data in zip(group["ts_us"], group["frame"])]
+        kind = number % FILE_KINDS
+        data = {0: lambda: _classic_bytes(rows), 3: lambda: gzip.compress(_classic_bytes(rows)),
+                5: lambda: b"no capture at all"}.get(kind, lambda: _newer_bytes(rows, kind == 2, kind == 4))()
+        system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        system.create_dir(folder)
+        with system.open_output_stream(f"{folder}/f{number}.cap", compression=None) as f:
+            f.write(data)
+        return pd.DataFrame({"file": [number], "n": [len(rows)]})
+
+    frames = wire_frames(spark, sf_dir).withColumn("file", F.floor(F.col("frame_no") / FRAMES_PER_FILE))
+    frames.select("file", "frame_no", "ts_us", "frame").groupBy("file").applyInPandas(write, "file BIGINT, n BIGINT").count()
+    return path
+
+
+def request_captures(frames: DataFrame) -> DataFrame:
+    """request, content: the frames of each request as one newer capture of raw IPv4 and Ethernet, as bytes."""
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("frame_no")
+        # Raw packets get an Ethernet header, since a file of one interface has one link type.
+        head = bytes.fromhex("0200000000010200000000AA0800")
+        rows = [(int(ts), bytes(data) if link == 1 else head + bytes(data))
+                for ts, link, data in zip(group["ts_us"], group["link_type"], group["frame"])]
+        return pd.DataFrame({"request": [int(group["request"].iloc[0])], "content": [_newer_bytes(rows, False, False)]})
+
+    return frames.select("request", "frame_no", "ts_us", "link_type", "frame").groupBy("request").applyInPandas(
+        build, "request BIGINT, content BINARY")
+
+
 def capture_folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder of capture files holding every wire packet."""
     path = scratch_path(spark, "captures")

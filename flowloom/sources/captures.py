@@ -5,20 +5,27 @@ and cuts it into chunks at record boundaries, without keeping frame bytes.
 ``read_frames`` then reads the chunks in parallel, so a file with most of the bytes
 is spread over many tasks. Header decoding is left to native expressions
 (``functions.frames``).
+
+Nothing is lost without a word: a file that can't be walked to its end is an error as a whole, and ``read_captures``
+fails on it unless it is told to keep errors as rows.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.frames import header_fields
+from flowloom.session import materialize
 
 CHUNK_BYTES = 64 << 20
 READ_BUFFER = 4 << 20
@@ -28,16 +35,23 @@ BATCH_BYTES = 16 << 20
 PCAP_MAGIC = {0xA1B2C3D4: ("<", 10**6), 0xD4C3B2A1: (">", 10**6),
               0xA1B23C4D: ("<", 10**9), 0x4D3CB2A1: (">", 10**9)}
 PCAPNG_MAGIC = 0x0A0D0D0A
-NG_INTERFACE, NG_SIMPLE, NG_ENHANCED = 1, 3, 6
+GZIP_MAGIC = b"\x1f\x8b"
+NG_INTERFACE, NG_PACKET, NG_SIMPLE, NG_ENHANCED = 1, 2, 3, 6
 
 INDEX_SCHEMA = ("capture STRING, chunk INT, start BIGINT, stop BIGINT, first_frame BIGINT, "
                 "byte_order STRING, ticks BIGINT, link_types ARRAY<INT>, link_ticks ARRAY<BIGINT>, "
                 "ng BOOLEAN, error STRING")
 FRAME_SCHEMA = "capture STRING, frame_no BIGINT, ts_us BIGINT, link_type INT, frame BINARY"
+READ_ERRORS = (OSError, EOFError, struct.error, zlib.error, ValueError)
+
+
+class CaptureError(ValueError):
+    """A capture that breaks its format."""
 
 
 def open_path(path: str) -> BinaryIO:
-    """A seekable stream of a file path or of any URI Arrow knows (file, hdfs, s3, gs)."""
+    """A seekable stream of a file path or of any URI Arrow knows (file, hdfs, s3, gs); compressed files are
+    decompressed on the way."""
     from urllib.parse import unquote, urlparse
 
     from pyarrow import fs
@@ -45,9 +59,13 @@ def open_path(path: str) -> BinaryIO:
     if path.startswith("file:"):
         path = unquote(urlparse(path).path)
     if "://" not in path:
-        return open(path, "rb")
-    system, name = fs.FileSystem.from_uri(path)
-    return io.BufferedReader(system.open_input_file(name), READ_BUFFER)
+        f = open(path, "rb")
+    else:
+        system, name = fs.FileSystem.from_uri(path)
+        f = io.BufferedReader(system.open_input_file(name), READ_BUFFER)
+    compressed = f.read(2) == GZIP_MAGIC
+    f.seek(0)
+    return gzip.GzipFile(fileobj=f) if compressed else f
 
 
 def _classic_records(f: BinaryIO, at: int, stop: int | None, order: str) -> Iterator[tuple[int, int, int, int, int]]:
@@ -75,8 +93,8 @@ def _ng_blocks(f: BinaryIO, at: int, stop: int | None, order: str) -> Iterator[t
         if kind == PCAPNG_MAGIC:
             order = "<" if raw[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
         kind, size = struct.unpack(order + "II", raw[:8])
-        if size < 12:
-            return
+        if size < 12 or size % 4:
+            raise CaptureError(f"block length {size} at byte {at}")
         yield at, kind, size, order
         at += size
         f.seek(at)
@@ -98,6 +116,17 @@ def _ng_interface(f: BinaryIO, at: int, size: int, order: str) -> tuple[int, int
     return link, ticks
 
 
+def _check_frame_block(f: BinaryIO, at: int, kind: int, order: str, interfaces: int) -> None:
+    """A frame must name an interface of its section."""
+    number = 0
+    if kind != NG_SIMPLE:
+        f.seek(at + 8)
+        raw = f.read(4)
+        number = struct.unpack(order + ("I" if kind == NG_ENHANCED else "H"), raw[:4 if kind == NG_ENHANCED else 2])[0]
+    if number >= interfaces:
+        raise CaptureError(f"frame at byte {at} names interface {number} of {interfaces}")
+
+
 def index_stream(f: BinaryIO, name: str, chunk_bytes: int) -> Iterator[dict]:
     """Chunk rows of one capture; constant memory whatever its size."""
     raw = f.read(24)
@@ -109,7 +138,7 @@ def index_stream(f: BinaryIO, name: str, chunk_bytes: int) -> Iterator[dict]:
         steps = ((a, d + n, True, None) for a, d, n, _, _ in _classic_records(f, 24, None, order))
     elif magic == PCAPNG_MAGIC:
         base = dict(byte_order="<", ticks=10**6, link_types=[], link_ticks=[], ng=True)
-        steps = ((a, a + n, k in (NG_SIMPLE, NG_ENHANCED), (k, n, o)) for a, k, n, o in _ng_blocks(f, 0, None, "<"))
+        steps = ((a, a + n, k in (NG_PACKET, NG_SIMPLE, NG_ENHANCED), (k, n, o)) for a, k, n, o in _ng_blocks(f, 0, None, "<"))
     else:
         yield dict(capture=name, error="not a capture file")
         return
@@ -125,6 +154,8 @@ def index_stream(f: BinaryIO, name: str, chunk_bytes: int) -> Iterator[dict]:
             elif kind == NG_INTERFACE:
                 link, ticks = _ng_interface(f, at, size, order)
                 base.update(link_types=[*base["link_types"], link], link_ticks=[*base["link_ticks"], ticks])
+            elif is_frame:
+                _check_frame_block(f, at, kind, order, len(base["link_types"]))
         frame += is_frame
         if stop - start >= chunk_bytes:
             yield dict(state, chunk=chunk, start=start, stop=stop, first_frame=first)
@@ -133,13 +164,16 @@ def index_stream(f: BinaryIO, name: str, chunk_bytes: int) -> Iterator[dict]:
         yield dict(state, chunk=chunk, start=start, stop=stop, first_frame=first)
 
 
-def index_file(path: str, chunk_bytes: int) -> Iterator[dict]:
-    """Chunk rows of one file; a file that cannot be read costs one row with ``error``."""
+def index_file(path: str, chunk_bytes: int) -> list[dict]:
+    """Chunk rows of one file, or a single row with ``error`` if any part of it can't be walked.
+
+    A compressed file is one chunk: its bytes can only be reached from the start.
+    """
     try:
         with open_path(path) as f:
-            yield from index_stream(f, path, chunk_bytes)
-    except (OSError, struct.error) as exc:
-        yield dict(capture=path, error=f"{type(exc).__name__}: {exc}")
+            return list(index_stream(f, path, 1 << 62 if isinstance(f, gzip.GzipFile) else chunk_bytes))
+    except READ_ERRORS as exc:
+        return [dict(capture=path, error=f"{type(exc).__name__}: {exc}")]
 
 
 def chunk_frames(f: BinaryIO, row: dict) -> Iterator[tuple[int, int, int, bytes]]:
@@ -159,9 +193,11 @@ def chunk_frames(f: BinaryIO, row: dict) -> Iterator[tuple[int, int, int, bytes]
             link, tick = _ng_interface(f, at, size, order)
             links.append(link)
             ticks.append(tick)
-        elif kind == NG_ENHANCED:
+        elif kind in (NG_ENHANCED, NG_PACKET):
             f.seek(at + 8)
-            iface, high, low, kept, _ = struct.unpack(order + "IIIII", f.read(20))
+            # The older packet block has a 16-bit interface number and a count of drops in its place.
+            iface, high, low, kept, _ = struct.unpack(
+                order + ("IIIII" if kind == NG_ENHANCED else "HxxIIII"), f.read(20))
             yield frame, ((high << 32) | low) * 10**6 // ticks[iface], links[iface], f.read(kept)
             frame += 1
         elif kind == NG_SIMPLE:
@@ -171,19 +207,29 @@ def chunk_frames(f: BinaryIO, row: dict) -> Iterator[tuple[int, int, int, bytes]
             frame += 1
 
 
-FRAME_COLUMNS = ["capture", "frame_no", "ts_us", "link_type", "frame"]
+FRAMES = pa.schema([("capture", pa.string()), ("frame_no", pa.int64()), ("ts_us", pa.int64()),
+                    ("link_type", pa.int32()), ("frame", pa.binary())])
 
 
-def _frame_batches(f: BinaryIO, row: dict, batch_rows: int) -> Iterator[pd.DataFrame]:
-    out, held = [], 0
+def _frame_batches(f: BinaryIO, row: dict, batch_rows: int) -> Iterator[pa.RecordBatch]:
+    numbers, times, links, frames, held = [], [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array([row["capture"]] * len(numbers), pa.string()), pa.array(numbers, pa.int64()),
+                   pa.array(times, pa.int64()), pa.array(links, pa.int32()), pa.array(frames, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema=FRAMES)
+
     for number, ts, link, data in chunk_frames(f, row):
-        out.append((row["capture"], number, ts, link, data))
+        numbers.append(number)
+        times.append(ts)
+        links.append(link)
+        frames.append(data)
         held += len(data)
-        if len(out) == batch_rows or held >= BATCH_BYTES:
-            yield pd.DataFrame(out, columns=FRAME_COLUMNS)
-            out, held = [], 0
-    if out:
-        yield pd.DataFrame(out, columns=FRAME_COLUMNS)
+        if len(numbers) == batch_rows or held >= BATCH_BYTES:
+            yield batch()
+            numbers, times, links, frames, held = [], [], [], [], 0
+    if numbers:
+        yield batch()
 
 
 def index_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -198,12 +244,7 @@ def index_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTE
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p in batch["path"]:
-                rows: list[dict] = []
-                for row in index_file(p, chunk_bytes):
-                    rows.append(row)
-                    if len(rows) == 1024:
-                        yield frame(rows)
-                        rows = []
+                rows = index_file(p, chunk_bytes)
                 if rows:
                     yield frame(rows)
 
@@ -216,23 +257,36 @@ def read_frames(index: DataFrame, batch_rows: int = 4096, tasks: int | None = No
     The number of tasks is set here: index rows are tiny, and a partition count left to
     the runtime would be merged down to one.
     """
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 with open_path(row["capture"]) as f:
                     yield from _frame_batches(f, row, batch_rows)
 
     spark = index.sparkSession
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     good = index.filter(F.col("error").isNull())
-    return good.repartition(tasks, "capture", "chunk").mapInPandas(read, FRAME_SCHEMA)
+    return good.repartition(tasks, "capture", "chunk").mapInArrow(read, FRAME_SCHEMA)
+
+
+def capture_errors(index: DataFrame) -> DataFrame:
+    """capture, error of the files that can't be read."""
+    return index.filter(F.col("error").isNotNull()).select("capture", "error")
 
 
-def read_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES,
-                  udp_zero_ok: bool = False) -> DataFrame:
-    """Packet rows of all capture files: IPv4 only, in the wire schema plus ``ts_us``."""
-    frames = read_frames(index_captures(spark, path, chunk_bytes))
-    return header_fields(frames, udp_zero_ok).withColumnRenamed("frame_no", "arrival")
+def read_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, udp_zero_ok: bool = False,
+                  on_error: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Packet rows of all capture files: IPv4 only, in the wire schema plus ``ts_us``.
+
+    ``on_error="fail"`` raises if any file can't be read to its end; ``"keep"`` returns (packets of the good files,
+    capture and error of the others).
+    """
+    index = materialize(index_captures(spark, path, chunk_bytes), "capture-index")
+    errors = capture_errors(index)
+    if on_error == "fail" and (first := errors.first()) is not None:
+        raise CaptureError(f"{first['capture']}: {first['error']}")
+    packets = header_fields(read_frames(index), udp_zero_ok).withColumnRenamed("frame_no", "arrival")
+    return (packets, errors) if on_error == "keep" else packets
 
 
 # --- captures inside a request column ------------------------------------------------
@@ -258,7 +312,9 @@ def decode_captures(requests: DataFrame, raw: str | None = None, text: str | Non
         options.append(strict_base64(F.col(text)))
     if fields:
         entry = [F.try_element_at(F.col(fields), F.lit(k)) for k in ("pcap_base64", "pcap")]
-        options.append(strict_base64(F.coalesce(*[F.when(e != "", e) for e in entry])))
+        kind = requests.schema[fields].dataType.valueType.simpleString()
+        options.append(F.coalesce(*[F.when(F.length(e) > 0, e) for e in entry])
+                       if kind == "binary" else strict_base64(F.coalesce(*[F.when(e != "", e) for e in entry])))
     content = F.coalesce(*options)
     return (requests.withColumn("content", content)
             .withColumn("error", F.when(F.col("content").isNull(),
@@ -266,14 +322,34 @@ def decode_captures(requests: DataFrame, raw: str | None = None, text: str | Non
 
 
 def frames_of_content(requests: DataFrame, capture: str, content: str = "content", batch_rows: int = 4096) -> DataFrame:
-    """Frames of captures held in a BINARY column (request-sized, one row each); others give none."""
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of captures held in a BINARY column (request-sized, one row each). Bytes that are no whole capture give
+    one row with a null ``frame`` and the reason in ``error``."""
+    schema = FRAMES.append(pa.field("error", pa.string()))
+
+    def failed(name: str, error: str) -> pa.RecordBatch:
+        values = [[name], [None], [None], [None], [None], [error]]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
+
+    def frames(name: str, data: bytes) -> Iterator[pa.RecordBatch]:
+        f: BinaryIO = io.BytesIO(data)
+        if data[:2] == GZIP_MAGIC:
+            f = gzip.GzipFile(fileobj=f)
+        try:
+            index = list(index_stream(f, name, 1 << 62))
+            bad = [row["error"] for row in index if row.get("error")]
+            if bad:
+                raise CaptureError(bad[0])
+            found = [b for row in index for b in _frame_batches(f, row, batch_rows)]
+        except READ_ERRORS as exc:
+            yield failed(name, f"{type(exc).__name__}: {exc}")
+            return
+        for b in found:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.string())], schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["capture"], batch["content"]):
-                f = io.BytesIO(data)
-                for row in list(index_stream(f, name, CHUNK_BYTES)):
-                    if row.get("error") is None:
-                        yield from _frame_batches(f, row, batch_rows)
+            for row in batch.to_pylist():
+                yield from frames(row["capture"], bytes(row["content"]))
 
     rows = requests.select(F.col(capture).cast("string").alias("capture"), F.col(content).alias("content"))
-    return rows.filter(F.col("content").isNotNull()).mapInPandas(read, FRAME_SCHEMA)
+    return rows.filter(F.col("content").isNotNull()).mapInArrow(read, FRAME_SCHEMA + ", error STRING")

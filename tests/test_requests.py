@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from flowloom.plans.fixtures import wire_scores
-from flowloom.plans.requests import answer_requests
+from flowloom.plans.requests import answer_requests, responses
 from tests.helpers import ipv4, pcap, tcp
 
 HTTP = ipv4(6, tcp(b"GET / HTTP/1.1\r\n", flags=0x18))
@@ -37,3 +37,16 @@ def test_requests_end_to_end(spark):
     assert not got["text"][0]["anomaly"] and got["text"][0]["root_cause"]["tag"] == "benign"
     assert [r["root_cause"]["tag"] for r in got["text"][1:]] == ["port_scan_reconnaissance"] * 3
     assert set(got["map"][0]) == {"flow", "score", "anomaly", "packets"}
+
+
+def test_bytes_that_are_no_capture_are_an_error(spark):
+    good = pcap([ipv4(6, tcp(b"hi"))])
+    df = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(b"hello")), ("c", None)], "request_id STRING, raw BINARY")
+    envelopes, results = answer_requests(df, lambda p: wire_scores(p).withColumn("score", F.lit(0.7)), raw="raw",
+                                         model={"name": "m"})
+    got = {r["capture"]: r for r in envelopes.collect()}
+    assert got["a"]["n_flows"] == 1 and got["a"]["error"] is None and got["a"]["model"] == '{"name": "m"}'
+    assert "not a capture" in got["b"]["error"] and got["b"]["n_flows"] is None and got["c"]["error"]
+    texts = {r["capture"]: json.loads(r["response"]) for r in responses(envelopes, results).collect()}
+    assert set(texts["b"]) == set(texts["c"]) == {"error"}
+    assert texts["a"]["n_flows"] == 1 and len(texts["a"]["results"]) == 1 and texts["a"]["model"] == {"name": "m"}
