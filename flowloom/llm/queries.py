@@ -38,6 +38,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.chat import maximal_conversations
+
+    return maximal_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.exact_dedup import find_copies
 
@@ -78,11 +84,24 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_near_dedup, op2_lm_scoring, op3_packing, op4_toxicity, op6_exact_dedup, op7_mixing, op8_token_counts,
+    op1_near_dedup, op2_lm_scoring, op3_packing, op4_toxicity, op5_chat_snapshots, op6_exact_dedup, op7_mixing, op8_token_counts,
     op9_private_data, op10_neighbours)}
 
 # Texts equal when A-Z are lower-cased; the largest identifier stays.
 ORACLES = {
+    "op5_chat_snapshots": """
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER w AS position, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    sha256(string_agg(concat(length(role), ':', role, length(text), ':', text), '') OVER (w ROWS UNBOUNDED PRECEDING)) AS h
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, sha256(text))),
+logs AS (SELECT h, min(conv_id) AS conv_id, count(*) AS n_logs FROM p WHERE position = n_turns GROUP BY h),
+maximal AS (SELECT conv_id FROM logs WHERE h NOT IN (SELECT h FROM p WHERE position < n_turns)),
+covered AS (SELECT p.conv_id, CAST(sum(n_logs) AS BIGINT) AS n_snapshots FROM p JOIN maximal USING (conv_id) JOIN logs USING (h)
+    GROUP BY p.conv_id)
+SELECT p.conv_id, position, n_turns, n_snapshots, concat('<|im_start|>', role, chr(10), text, '<|im_end|>') AS rendered
+FROM p JOIN covered USING (conv_id)
+""",
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
