@@ -2,7 +2,7 @@
 
 A token is a run of visible characters, lower-cased. Its input is a word vector (words of the training sample, one
 vector for all others) beside the mean vector of its hashed character 3- to 5-grams. A forward and a backward GRU run
-over windows of ``WINDOW`` tokens that overlap by half; attention pools the states into one vector and a logit. A
+over windows of ``WINDOW`` tokens that overlap by a quarter; attention pools the states into one vector and a logit. A
 text's logit is the largest of all its windows, so a remark is found wherever it stands in a long text.
 
 Labels are of whole texts, so training alternates: fit on one window per toxic text and some of each clean one, then
@@ -20,6 +20,7 @@ both kinds every score is 0. An empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import crc_mod, free_name, ids_and_texts, keep_ids
+from flowloom.llm.common import crc_mod, free_name, ids_and_texts
 
 FOLDS, HELD_OUT = 5, 0
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1500, 3000, 8000
-WINDOW, STRIDE = 32, 16
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1000, 2500, 6000
+WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 12, 16, 16
 CHAR_BUCKETS, VOCABULARY, LEAST_COUNT = 1 << 14, 20_000, 3
-ROUNDS, EPOCHS, BATCH, RATE = 3, 4, 128, 4e-3
+ROUNDS, EPOCHS, BATCH, RATE = 2, 3, 128, 6e-3
 MEMO_WORDS = 120_000
 SCORE_WINDOWS = 1024
 
@@ -126,10 +127,35 @@ class Network:
             out[t] = state
         return out
 
+    def run(self, way: str, x: np.ndarray, which: np.ndarray, mask: np.ndarray | None, out: np.ndarray) -> None:
+        """The states for scoring: as ``states``, but nothing is kept and arrays are used again."""
+        h, weights = HIDDEN, self.p[f"U{way}"]
+        state = np.zeros((which.shape[1], h), np.float32)
+        inner = np.empty((which.shape[1], 3 * h), np.float32)
+        with np.errstate(over="ignore"):  # exp of a large number is infinite, and the gate 0
+            for t in range(len(which)) if way == "f" else reversed(range(len(which))):
+                token = x.take(which[t], axis=0)
+                np.matmul(state, weights, out=inner)
+                gates = token[:, :2 * h] + inner[:, :2 * h]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                n = inner[:, 2 * h:] * gates[:, h:]
+                n += token[:, 2 * h:]
+                np.tanh(n, out=n)
+                new = state - n
+                new *= gates[:, :h]
+                new += n
+                state = new if mask is None else np.where(mask[t], new, state)
+                out[t] = state
+
     def logits(self, x: np.ndarray, which: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Logits of windows; ``x`` holds projected inputs of distinct words for both ways, ``which`` (T, B)."""
-        m = mask[:, :, None]
-        states = np.concatenate([self.states("f", x[0][which], m), self.states("b", x[1][which], m)], axis=2)
+        m = None if mask.all() else mask[:, :, None]
+        states = np.empty((*which.shape, 2 * HIDDEN), np.float32)
+        self.run("f", x[0], which, m, states[:, :, :HIDDEN])
+        self.run("b", x[1], which, m, states[:, :, HIDDEN:])
         weights = softmax((np.tanh(states @ self.p["Wa"] + self.p["ba"]) @ self.p["va"]).T, mask.T)
         return np.einsum("bt,tbh,h->b", weights, states, self.p["u"], optimize=True) + self.p["c"][0]
 
@@ -226,23 +252,24 @@ def _matrix(windows: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray
     return list(numbers), which, mask
 
 
-def _log_odds(docs: list[list[str]], labels: np.ndarray):
-    """Suspicion of a word: the largest log-odds of itself and its n-grams, over texts that hold them."""
-    seen = [Counter(), Counter()]
-    grams: dict[str, set] = {}
+def _suspicions(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
+    """Per word the largest log-odds of itself and its n-grams, over texts that hold them."""
+    numbers: dict[str, int] = {}
+    ids = [np.unique([numbers.setdefault(w, len(numbers)) for w in d]) for d in docs]
+    buckets, sizes = char_grams(list(numbers))
+    first = np.cumsum(sizes) - sizes
+    seen_words, seen_grams = np.zeros((2, len(numbers))), np.zeros((2, CHAR_BUCKETS))
+    for u, y in zip(ids, labels):
+        seen_words[y, u] += 1
+        seen_grams[y, np.unique(np.concatenate([buckets[first[i]:first[i] + sizes[i]] for i in u]))] += 1
+    n = np.bincount(labels, minlength=2)
 
-    def features(word: str) -> set:
-        if word not in grams:
-            buckets, _ = char_grams([word])
-            grams[word] = {word, *buckets.tolist()}
-        return grams[word]
+    def odds(seen: np.ndarray) -> np.ndarray:
+        value = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+        return np.where(seen[1] >= LEAST_COUNT, value, -9.0)
 
-    for words, y in zip(docs, labels):
-        seen[int(y)].update(set().union(*map(features, set(words))))
-    n = np.bincount(labels, minlength=2)
-    odds = {f: np.log((k + 0.5) / (n[1] + 1)) - np.log((seen[0][f] + 0.5) / (n[0] + 1)) for f, k in seen[1].items()
-            if k >= LEAST_COUNT}
-    return lambda word: max((odds[f] for f in features(word) if f in odds), default=-9.0)
+    worst = np.maximum(np.maximum.reduceat(odds(seen_grams)[buckets], first), odds(seen_words))
+    return dict(zip(numbers, worst.tolist()))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
@@ -256,13 +283,9 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
     frequent = sorted((w for w, n in counts.items() if n >= LEAST_COUNT), key=lambda w: (-counts[w], w))
     net = Network({w: i + 1 for i, w in enumerate(frequent[:VOCABULARY])}, seed)
     windows = [_windows(d) for d in docs]
-    suspicion = _log_odds(docs, y)
-    memo: dict[str, float] = {}
-
-    def first_look(window: list[str]) -> float:
-        return max(memo.setdefault(w, 0.0) if w in memo else memo.setdefault(w, suspicion(w)) for w in window)
-
-    looks = [np.array([first_look(w) for w in ws]) for ws in windows]
+    suspicion = _suspicions(docs, y)
+    looks = [np.array([max(map(suspicion.__getitem__, w)) for w in ws]) for ws in windows]
+    del suspicion
     adam = Adam(net.p, RATE)
     for turn in range(ROUNDS):
         chosen: list[tuple[list[str], int]] = []
@@ -356,9 +379,13 @@ class Scorer:
         first, size = np.concatenate(firsts), np.concatenate(sizes)
         out = np.empty(len(first), np.float32)
         steps = np.arange(WINDOW)[:, None]
-        for at in range(0, len(first), SCORE_WINDOWS):
-            f, n = first[at:at + SCORE_WINDOWS], size[at:at + SCORE_WINDOWS]
-            out[at:at + SCORE_WINDOWS] = self.net.logits(self.x, flat[f + steps], steps < n)
+        # Whole windows first: they need no mask.
+        order = np.argsort(size < WINDOW, kind="stable")
+        whole = int((size == WINDOW).sum())
+        cuts = [*range(0, whole, SCORE_WINDOWS), *range(whole, len(order), SCORE_WINDOWS), len(order)]
+        for at, end in zip(cuts, cuts[1:]):
+            part = order[at:end]
+            out[part] = self.net.logits(self.x, flat[first[part] + steps], steps < size[part])
         return np.split(out, np.cumsum(many)[:-1])
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -376,14 +403,14 @@ def _score(incoming: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     scorer = Scorer(net) if net else None
     for batch in incoming:
         texts = batch["text"].to_pylist()
-        scores = np.concatenate([scorer.scores(texts[i:i + 64]) for i in range(0, len(texts), 64)]) if scorer \
+        scores = np.concatenate([scorer.scores(texts[i:i + 128]) for i in range(0, len(texts), 128)]) if scorer \
             else np.zeros(len(texts))
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores)], schema=_SCORED)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
-                    clean_rows: int = CLEAN_ROWS) -> list[tuple[str, int]]:
-    """(text, label) of the bounded sample. Rows are chosen among the labels, so texts aren't shuffled."""
+                    clean_rows: int = CLEAN_ROWS) -> DataFrame:
+    """doc_id, text, toxic of the bounded sample. Rows are chosen among the labels, so texts aren't shuffled."""
     usable = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .filter((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull()))
@@ -393,15 +420,24 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_
     # About toxic_rows + clean_rows rows: this is what is broadcast.
     chosen = usable.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     texts = ids_and_texts(docs).filter(F.char_length("text") <= TRAIN_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+
+
+def _fit(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for batch in incoming for r in batch.to_pylist())
+    net = train([t for _, t, _ in rows], [y for _, _, y in rows])
+    yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(net)]}, schema=pa.schema([("model", pa.binary())]))
+
+
+def fit_network(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """The network, trained by one task on the bounded sample; None without labels of both kinds."""
+    fitted = training_sample(docs, labels).repartition(1).mapInArrow(_fit, "model binary").collect()
+    return pickle.loads(bytes(fitted[0]["model"])) if fitted else None
 
 
 def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    sample = training_sample(docs, labels)
-    net = train([t for t, _ in sample], [y for _, y in sample]) if sample else None
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # its size is fixed by the constants above
+    shared = docs.sparkSession.sparkContext.broadcast(fit_network(docs, labels))  # of fixed size
     scored = ids_and_texts(docs).mapInArrow(lambda it: _score(it, shared), "doc_id bigint, score double")
     return scored.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -409,9 +445,7 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    sample = training_sample(docs, labels)
-    net = train([t for t, _ in sample], [y for _, y in sample]) if sample else None
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_network(docs, labels))
     name = free_name(docs, "_toxicity")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumn(name, score_column(shared)(text)).filter(F.col(name) < 0.5).drop(name)
@@ -426,7 +460,7 @@ def score_column(shared):
         scorer = Scorer(net) if net else None
         for texts in batches:
             texts = texts.tolist()
-            parts = [scorer.scores(texts[i:i + 64]) for i in range(0, len(texts), 64)] if scorer else []
+            parts = [scorer.scores(texts[i:i + 128]) for i in range(0, len(texts), 128)] if scorer else []
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(len(texts)))
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
