@@ -9,9 +9,10 @@ later than every register's. Two registers agree with the probability Jaccard of
 2. Registers are hashed in bands; texts that share a band meet in a bucket. Of each bucket the most central text (in
    the largest buckets over all its bands) is the pivot, and only (text, pivot) pairs are verified: the share of
    common distinct shingles must be ``similarity`` or more.
-3. Verified links are contracted to components. Members of a bucket that are then still in different components
-   are compared across components, so that no link of a bucket is lost; groups of copies have become one
-   component by then and cost nothing.
+3. Verified links are contracted to components; groups of copies become one component. Members of a bucket that
+   are then still in different components are compared across components, so that no link of a bucket is lost. Before
+   that, counts rule out what can't be alike: shingles that no other such text has can't be common to two, and
+   both texts need enough others. A family of copies edited so far that they are not alike ends here.
 4. Components of all links are the classes.
 
 Nothing is gathered per group: buckets and components are aggregates and joins, and a pivot's shingles are repeated
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import ids_and_texts, keep_ids
@@ -41,6 +42,7 @@ PIVOT_PAIRS = 256
 MEMO_WORDS = 300_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -87,23 +89,23 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, registers: int) -> n
     owner = np.zeros(registers, np.uint64)
     time = np.zeros(len(elements))
     done = 0
+    # Enough arrivals at once to reach all registers, as a rule.
+    block = int(registers * (np.log(registers) + 2)) // max(1, len(elements)) + 1
     while len(elements):
-        # Few elements must send many arrivals each to reach all registers.
-        block = 1 + 2 * registers // len(elements)
         numbers = np.arange(done + 1, done + block + 1, dtype=np.uint64) * _GOLDEN
         x = mix(elements[:, None] + numbers[None, :])
-        waits = -np.log(((x >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0 ** -32) / weights[:, None]
+        waits = -np.log(((x >> _HALF).astype(np.float64) + 0.5) * 2.0 ** -32) / weights[:, None]
         times = time[:, None] + np.cumsum(waits, axis=1)
-        to = (((x & np.uint64(0xFFFFFFFF)) * np.uint64(registers)) >> np.uint64(32)).astype(np.int64)
-        early = times < first[to]
-        t, k = times[early], to[early]
-        e = np.broadcast_to(elements[:, None], times.shape)[early]
-        order = np.argsort(-t, kind="stable")
-        first[k[order]] = t[order]  # the last one written is the earliest
-        owner[k[order]] = e[order]
+        to = ((x & _LOW) * np.uint64(registers)) >> _HALF
+        early = np.flatnonzero((times < first[to]).ravel())
+        t, k = times.ravel()[early], to.ravel()[early]
+        np.minimum.at(first, k, t)
+        won = t == first[k]
+        owner[k[won]] = elements[early[won] // block]
         alive = times[:, -1] < first.max()
         elements, weights, time = elements[alive], weights[alive], times[alive, -1]
         done += block
+        block = 64 // max(1, len(elements)) + 1
     return owner
 
 
@@ -139,11 +141,51 @@ def _sign(incoming: Iterator[pa.RecordBatch], words: int, bands: int, rows: int)
                                          schema=_SIGNED)
 
 
-def _shingle_sets(incoming: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+# A filter of fixed size for the texts whose shingles are needed. When it fills up with the table, it lets more texts
+# through, and the join behind it does the rest.
+FILTER_SEGMENTS, SEGMENT_BITS = 64, 1 << 20
+
+
+def _filter_places() -> list[Column]:
+    """Segment of a key and its two bits there."""
+    return [F.pmod(F.xxhash64("key"), F.lit(FILTER_SEGMENTS)).alias("segment"),
+            *[F.pmod(F.xxhash64("key", F.lit(i)), F.lit(SEGMENT_BITS)).alias(f"bit{i}") for i in (1, 2)]]
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits by segment. A segment's task gets each of its bits once, however many keys there are."""
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(SEGMENT_BITS, bool)
+        bits[table["bit"].to_numpy()] = True
+        return pa.table({"segment": [key[0].as_py()], "bits": [np.packbits(bits).tobytes()]})
+
+    places = keys.select(*_filter_places())
+    segments = (places.select("segment", F.explode(F.array("bit1", "bit2")).alias("bit")).distinct()
+                .groupBy("segment").applyInArrow(fill, "segment bigint, bits binary"))
+    out = np.zeros((FILTER_SEGMENTS, SEGMENT_BITS // 8), np.uint8)
+    for r in segments.collect():
+        out[r["segment"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _shingle_sets(incoming: Iterator[pa.RecordBatch], words: int, shared) -> Iterator[pa.RecordBatch]:
+    bits, seen = shared.value, set()
     for batch in incoming:
-        sets = [np.unique((shingles(t, words) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-                for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(sets, pa.list_(pa.int32()))], schema=_SETS)
+        segment = batch["segment"].to_numpy()
+        there = np.ones(len(segment), bool)
+        for bit in (batch["bit1"].to_numpy(), batch["bit2"].to_numpy()):
+            there &= (bits[segment, bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)
+        keys, sets = [], []
+        for i in np.flatnonzero(there):
+            key = batch["key"][i].as_py()
+            if key not in seen:  # copies in this task
+                seen.add(key)
+                keys.append(key)
+                found = shingles(batch["text"][i].as_py(), words)
+                sets.append(np.unique((found >> _HALF).astype(np.uint32)).view(np.int32))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int32()))],
+                                             schema=_SETS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -200,22 +242,34 @@ def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     pairs = materialize(shared.select("bucket", F.col("key").alias("b")).join(pivots, "bucket")
                         .filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "pivot-pairs")
 
-    wanted = central.select("key")
-    sets = materialize(texts.select("key", "text").dropDuplicates(["key"]).join(wanted, "key", "left_semi")
-                       .mapInArrow(lambda it: _shingle_sets(it, words), "key binary, shingles array<int>"), "shingles")
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(shared.select("key").distinct()))
+    sets = materialize(texts.select("key", *_filter_places(), "text")
+                       .mapInArrow(lambda it: _shingle_sets(it, words, wanted), "key binary, shingles array<int>")
+                       .groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
     links = materialize(verified(pairs, sets, similarity), "links")
     labels = components(links)
 
-    # What is left: buckets whose members are in several components.
+    # What is left: buckets whose members are in several components. Two texts can only be alike if both have enough
+    # shingles that occur in another member at all; a text with many shingles of its own has no partner.
     members = (shared.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
                .withColumn("component", F.coalesce("component", "key")))
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.filter(F.col("low") != F.col("high")).select("bucket")
-    sizes = sets.select("key", F.size("shingles").alias("size"))
-    members = materialize(members.join(mixed, "bucket", "left_semi").join(sizes, "key"), "mixed-buckets")
+    members = materialize(members.join(mixed, "bucket", "left_semi"), "mixed-buckets")
+    open_sets = sets.join(members.select("key").distinct(), "key", "left_semi")
+    own = (open_sets.select("key", F.explode("shingles").alias("s")).groupBy("s")
+           .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+           .groupBy("key").agg(F.count(F.lit(1)).alias("own")))
+    sizes = (open_sets.select("key", F.size("shingles").alias("size")).join(own, "key", "left")
+             .withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+             .filter(F.col("shared") >= similarity * F.col("size")))
+    bands_of = signed.join(sizes.select("key"), "key", "left_semi").groupBy("key").agg(F.first("bands").alias("bands"))
+    members = materialize(members.join(sizes, "key").join(bands_of, "key"), "open-members")
     x, y = members.alias("x"), members.alias("y")
+    # A pair is made in the first of its buckets only.
     alike = (F.col("x.component") < F.col("y.component")) & (
-        F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"))
+        F.least("x.shared", "y.shared") * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size"))) & (
+        F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))
     rest = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & alike)
             .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
     known = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
