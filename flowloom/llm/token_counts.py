@@ -47,13 +47,17 @@ class ChunkCounter(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = load_tokenizer(path)
+        self.model = self.tokenizer.model
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> int:
+        # ASCII letters behind a space are one piece, whose space the byte alphabet writes as the letter below.
+        if word.isascii() and word.isalpha():
+            n = len(self.model.tokenize("\u0120" + word))
         # A comma or full stop behind a letter is a piece of its own for the pattern, and one token.
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2] < "\u0250":
+        elif len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2] < "\u0250":
             n = self[word[:-1]] + 1
         else:
             n = self.whole(" " + word)
