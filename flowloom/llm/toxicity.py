@@ -37,6 +37,7 @@ WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 12, 16, 16
 CHAR_BUCKETS, VOCABULARY, LEAST_COUNT = 1 << 14, 20_000, 3
 ROUNDS, EPOCHS, BATCH, RATE = 2, 3, 128, 6e-3
+LEAST_STEPS = 140  # per round; small samples are gone over more often
 MEMO_WORDS = 120_000
 SCORE_WINDOWS = 1024
 
@@ -295,7 +296,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
             if not label:
                 chosen.extend((ws[i], 0) for i in rng.choice(len(ws), min(2, len(ws)), replace=False))
         rate = np.array([label for _, label in chosen]).mean()
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(chosen)))):
             order = rng.permutation(len(chosen))
             for at in range(0, len(order), BATCH):
                 part = [chosen[i] for i in order[at:at + BATCH]]
