@@ -40,10 +40,13 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is in ``kept``; null ids meet null ids."""
-    right = kept.select(F.col("doc_id").alias(free_name(docs, "_kept_id")))
-    return docs.join(right, docs["doc_id"].eqNullSafe(right[right.columns[0]]), "left_semi")
+def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (key, doc_id) of ``kept``; ``key`` stands for the text, null ids meet null ids."""
+    mine, theirs, their_id = (free_name(docs, base) for base in ("_text_key", "_kept_key", "_kept_id"))
+    left = docs.withColumn(mine, key)
+    right = kept.select(F.col("key").alias(theirs), F.col("doc_id").alias(their_id))
+    found = left.join(right, (left[mine] == right[theirs]) & left["doc_id"].eqNullSafe(right[their_id]), "left_semi")
+    return found.dropDuplicates([mine, "doc_id"]).drop(mine)
 
 
 def crc_mod(column: str, n: int) -> Column:

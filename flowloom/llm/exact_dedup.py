@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import batches, ids_and_texts, keep_ids
+from flowloom.llm.common import batches, ids_and_texts, keep_rows
 
 TRIE_BYTES = 48 << 20
 NODE_BYTES = 250
@@ -183,6 +184,7 @@ def find_copies(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """``docs`` with one row per different text; of rows that repeat the owner's id, one stays."""
-    owners = text_owners(docs, trie_bytes).select(F.col("keep_id").alias("doc_id"))
-    return keep_ids(docs, owners).dropDuplicates(["doc_id"])
+    """``docs`` with one row per different text; of rows that repeat the owner's id and text, one stays."""
+    owners = text_owners(docs, trie_bytes).select(F.col("text_sha256").alias("key"), F.col("keep_id").alias("doc_id"))
+    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    return keep_rows(docs, F.sha2(lowered, 256), owners)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import ids_and_texts, keep_ids
+from flowloom.llm.common import ids_and_texts, keep_rows
 from flowloom.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
@@ -224,10 +224,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
-                 band_rows: int = BAND_ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (it is that row)."""
-    texts = ids_and_texts(docs).withColumn("key", F.unhex(F.md5("text")))
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def text_components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
+                    band_rows: int = BAND_ROWS) -> DataFrame:
+    """One row per document: doc_id, key of its text, component."""
+    texts = ids_and_texts(docs).withColumn("key", text_key(F.col("text")))
     signed = materialize(texts.mapInArrow(lambda it: _sign(it, words, bands, band_rows),
                                           "doc_id bigint, key binary, bands array<bigint>"), "signatures")
     # Same key, same bands: an aggregate that combines copies before it shuffles.
@@ -278,8 +282,13 @@ def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
         more = verified(rest, sets, similarity)
         labels = components(materialize(links.unionByName(more), "all-links"))
 
-    classed = (signed.select("doc_id", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
-               .select("doc_id", F.coalesce("component", "key").alias("component")))
+    return (signed.select("doc_id", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
+            .select("doc_id", "key", F.coalesce("component", "key").alias("component")))
+
+
+def near_classes(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (it has that id)."""
+    classed = text_components(docs, **options).select("doc_id", "component")
     classes = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"),
                                                F.count(F.lit(1)).alias("class_size"))
     return (classed.join(classes, "component")
@@ -287,6 +296,8 @@ def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class; of rows that repeat its id, one stays."""
-    kept = near_classes(docs, **options).filter("kept").select("doc_id").distinct()
-    return keep_ids(docs, kept).dropDuplicates(["doc_id"])
+    """``docs`` with one document of each class: its smallest id, and of several texts under that id one; of rows
+    that repeat both, one stays."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
+    kept = text_components(docs, **options).groupBy("component").agg(first).select("first.key", "first.doc_id")
+    return keep_rows(docs, text_key(F.coalesce(F.col("text"), F.lit(""))), kept)

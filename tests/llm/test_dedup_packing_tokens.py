@@ -59,6 +59,13 @@ def test_drop_copies(spark, docs):
     assert X.drop_copies(docs.limit(0)).count() == 0
 
 
+def test_drop_copies_keeps_every_text_of_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "b"), (None, "B"), (5, "A text"), (5, "copied"), (9, "Copied"), (7, "x"), (7, "y"), (7, "y")]
+    kept = X.drop_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [
+        ("5", "a text"), ("7", "x"), ("7", "y"), ("9", "copied"), ("None", "a"), ("None", "b")]
+
+
 def _check_packing(rows, docs, length, tokenizer):
     ids = {}
     for i, t in docs:

@@ -73,6 +73,14 @@ def test_near_classes_with_nulls_and_repeats(spark):
     assert N.near_classes(frame.limit(0)).count() == 0
 
 
+def test_drop_near_copies_keeps_every_class_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b + " tail"), (5, c), (5, "other words"), (7, "other words"), (4, "other words")]
+    kept = N.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text.split()[0]) for r in kept) == [
+        ("4", "other"), ("5", "c0"), ("None", "a0"), ("None", "b0")]
+
+
 def test_a_hot_group_has_few_pairs(spark, monkeypatch):
     """A family that fills most of the table is verified against a pivot, not in pairs."""
     rng = random.Random(3)
