@@ -6,7 +6,7 @@ the prefix hash of a longer one is a snapshot of it and goes by an anti join; of
 identifier stays. The turns of what is left are rendered in chat markup.
 
 Sums are associative, so positions and prefix hashes come from exact running sums over a range partitioning: a
-conversation with a third of all turns is cut over many tasks. A very common first turn or conversation is one hash,
+conversation with a third of all turns is cut over many tasks, and decimal sums do not overflow. A very common first turn or conversation is one hash,
 which is aggregated before it is shuffled. The result has one row per turn, so no conversation is gathered either.
 
 Turns are ordered by number, then role and text (null first, null counts as empty); repeated rows are one turn.
@@ -22,8 +22,8 @@ from flowloom.operators.ranks import running_sums
 from flowloom.session import materialize
 
 START, STOP = "<|im_start|>", "<|im_end|>"
-# 44 bits of a hash: half a million turns add up without passing 64 bits.
-HASH_SHIFT = 20
+# Sums of 64-bit hashes: a task's have 30 digits and a conversation's 38, room for 10**11 turns a task.
+HASH_TYPE = "decimal(20,0)"
 WHOLE = ["n_turns", "h1", "h2"]
 
 
@@ -37,7 +37,7 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def _hash(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "position", "role", "digest"), HASH_SHIFT)
+    return F.xxhash64(F.lit(seed), "position", "role", "digest").cast(HASH_TYPE)
 
 
 def prefix_hashes(rows: DataFrame) -> DataFrame:

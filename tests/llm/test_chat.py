@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from flowloom.llm import chat
 
 
@@ -34,3 +36,11 @@ def test_snapshots_against_brute_force(spark):
     got = {tuple(r) for r in chat.maximal_conversations(df.repartition(5)).collect()}
     assert got == _brute(rows)
     assert chat.maximal_conversations(df.limit(0)).count() == 0
+
+
+def test_a_conversation_of_more_than_a_million_turns(spark):
+    n = 1_200_000
+    whole = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
+    part = whole.filter(F.col("turn") < n - 1).withColumn("conv_id", F.lit(2))
+    got = chat.maximal_conversations(whole.unionByName(part)).groupBy("conv_id", "n_turns", "n_snapshots").count().collect()
+    assert [tuple(r) for r in got] == [(1, n, 2, n)]
