@@ -1,17 +1,18 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts per (source, language, topic) are raked until their weights meet the target share of every source,
-language and topic. A document's calibrated weight is the product of its three factors; divided by the largest
-weight it is the probability with which the document is sampled, so the sample's tokens have the target shares in
-expectation, and no probability exceeds one.
+language and topic. ``rate`` is the share of all tokens to sample: a document's probability is its weight times
+``rate`` where no cell passes one. Otherwise the probabilities are raked once more, at most one each: a value whose
+target is more than its supply gets its supply, full cells are kept whole and the others share what is left, so a
+tiny cell does not set the rate of the others. The sample's tokens have the target shares in expectation as far as
+the supply allows.
 
-Languages without a target fall into ``OTHER`` and topics are numbers below ``topics``, so (language, topic) has few
-values however large the table is; sources may be as many as they like. The cells are stored as one row per source
-with its (language, topic) counts. In each round one job computes the factors of all sources and sums the raked
-tokens by (language, topic); the factors of languages and topics follow from that small table.
+Sources and languages may be as many as they like: cells are a stored table, and every step is an aggregate by one
+of the three names, joined back to the cells. Up to ``LOCAL_CELLS`` cells are fitted on the driver with the same
+steps, since jobs over so few rows are mostly waiting.
 
 Target shares come from the table itself: observed token shares to the power ``temper``, so that large
-sources, languages and topics are damped. Shares can be given instead.
+sources, languages and topics are damped.
 
 Topic of a text: its most frequent word of five or more letters (ties: the smallest), hashed to ``topics`` classes; 0
 if it has none. Tokens are words cut at white space, at least one per document. A null source, language or text is a
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -34,9 +36,11 @@ from flowloom.llm.common import free_name
 from flowloom.session import materialize
 
 TOPICS, TEMPER = 8, 0.7
+# The share of all tokens in the sample.
+RATE = 0.5
 ROUNDS, TOLERANCE = 40, 1e-6
-LANGUAGES = 64
-OTHER = "(other)"
+NAMES = ("source", "lang", "topic")
+LOCAL_CELLS = 50_000
 _LONG = regex.compile(r"\p{L}{5,}")
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("topic", pa.int32()),
@@ -69,107 +73,112 @@ def features(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
                             "doc_id bigint, source string, lang string, topic int, tokens bigint")
 
 
-def tempered(shares: dict, temper: float) -> dict:
-    raised = {k: v ** temper for k, v in shares.items() if v > 0}
-    total = sum(raised.values())
-    return {k: v / total for k, v in raised.items()}
-
-
-def _lookup(values: dict, key: Column) -> Column:
-    """A few constants by key, as a literal map."""
-    pairs = [F.lit(x) for k, v in sorted(values.items()) for x in (k, float(v))]
-    return F.element_at(F.create_map(*pairs), key)
-
-
-class Calibration:
-    """Factors after raking: ``sources`` (source, factor) as a table, languages and topics as dictionaries."""
-
-    def __init__(self, sources: DataFrame, languages: dict, topics: dict, rounds: int, error: float):
-        self.sources, self.languages, self.topics = sources, languages, topics
-        self.rounds, self.error = rounds, error
-
-
-def _folded(lang: Column, languages: list[str]) -> Column:
-    return F.when(lang.isin(languages), lang).otherwise(F.lit(OTHER))
-
-
-def rake(cells: DataFrame, languages: list[str], temper: float = TEMPER, rounds: int = ROUNDS,
-         tolerance: float = TOLERANCE, source_shares: DataFrame | None = None, language_shares: dict | None = None,
-         topic_shares: dict | None = None) -> Calibration:
-    """Iterative proportional fitting of ``cells`` (source, lang, topic, tokens), lang within ``languages`` or
-    OTHER. ``source_shares`` (source, share) may be a table of any size."""
-    spark = cells.sparkSession
-    small = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).collect()
-    total = float(sum(r["tokens"] for r in small))
-
-    def observed(column: str) -> dict:
-        sums: dict = {}
-        for r in small:
-            sums[r[column]] = sums.get(r[column], 0.0) + r["tokens"] / total
-        return sums
-
-    language_shares = language_shares or tempered(observed("lang"), temper)
-    topic_shares = topic_shares or tempered(observed("topic"), temper)
-    by_source = cells.groupBy("source").agg(F.collect_list(F.struct("lang", "topic", "tokens")).alias("cells"),
-                                            F.sum("tokens").alias("tokens"))
-    if source_shares is None:
-        raised = by_source.withColumn("share", F.pow(F.col("tokens") / F.lit(total), F.lit(temper)))
-        norm = raised.agg(F.sum("share")).scalar()
-        by_source = raised.withColumn("share", F.col("share") / norm)
-    else:
-        by_source = by_source.join(source_shares.select("source", "share"), "source")
-    by_source = materialize(by_source, "mix-cells")
-
-    factors = {"lang": dict.fromkeys(language_shares, 1.0), "topic": dict.fromkeys(topic_shares, 1.0)}
-
-    def sources() -> DataFrame:
-        lang, topic = factors["lang"], factors["topic"]
-        raked = F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["tokens"] / F.lit(total)
-                            * _lookup(lang, c["lang"]) * _lookup(topic, c["topic"]))
-        return by_source.withColumn("factor", F.col("share") / raked)
-
+def targets(cells: DataFrame, name: str, total: float, temper: float, rate: float | None) -> DataFrame:
+    """(name, target): tokens wanted of each value. With a ``rate`` they add up to that share of all tokens, and
+    what a value can't supply is wanted of the others."""
+    supply = cells.groupBy(name).agg(F.sum("tokens").alias("supply"))
+    rows = materialize(supply.withColumn("share", F.pow(F.col("supply") / F.lit(total), F.lit(temper))), "mix-targets")
+    if rate is None:
+        norm = rows.agg(F.sum("share")).first()[0]
+        return rows.select(name, (F.col("share") * F.lit(total) / norm).alias("target"))
+    scale = 0.0
+    while True:  # ends: scale grows until no further value is short
+        short = F.col("share") * F.lit(scale) >= F.col("supply")
+        whole, free = rows.agg(F.sum(F.when(short, F.col("supply")).otherwise(0)),
+                               F.sum(F.when(short, 0.0).otherwise(F.col("share")))).first()
+        further = (rate * total - whole) / free if free else scale
+        if further <= scale * (1 + 1e-12):
+            break
+        scale = further
+    return rows.select(name, F.least(F.col("share") * F.lit(scale), F.col("supply").cast("double")).alias("target"))
+
+
+def _local_targets(supply: np.ndarray, total: float, temper: float, rate: float | None) -> np.ndarray:
+    """``targets`` of arrays."""
+    share = (supply / total) ** temper
+    if rate is None:
+        return share / share.sum() * total
+    scale = 0.0
+    while True:
+        short = share * scale >= supply
+        further = (rate * total - supply[short].sum()) / share[~short].sum() if not short.all() else scale
+        if further <= scale * (1 + 1e-12):
+            return np.minimum(share * scale, supply)
+        scale = further
+
+
+def _rake_local(cells: DataFrame, temper: float, rounds: int, tolerance: float,
+                rate: float | None) -> tuple[DataFrame, int, float]:
+    """``rake`` on the driver."""
+    table = cells.toArrow()
+    tokens, w = table["tokens"].to_numpy().astype(float), table["w"].to_numpy().copy()
+    total = tokens.sum()
+    codes = []
+    for name in NAMES:
+        numbers: dict = {}
+        codes.append(np.array([numbers.setdefault(v, len(numbers)) for v in table[name].to_pylist()]))
+    wanted = [_local_targets(np.bincount(c, tokens), total, temper, rate) for c in codes]
+    error, done = float("inf"), 0
+    while done < rounds and error > tolerance:
+        done += 1
+        error = 0.0
+        for code, target in zip(codes, wanted, strict=True):
+            full = w >= 1 if rate is not None else np.zeros(len(w), bool)
+            whole = np.bincount(code, np.where(full, tokens, 0.0), len(target))
+            part = np.bincount(code, np.where(full, 0.0, tokens * w), len(target))
+            left = target - whole
+            ratio = np.where(left < 0, target / (whole + part), 1.0)
+            grow = (left > 0) & (part > 0)
+            ratio[grow] = left[grow] / part[grow]
+            error = max(error, np.abs(left - part).max() / total)
+            w *= ratio[code]
+    fitted = table.set_column(table.schema.get_field_index("w"), "w", pa.array(w))
+    return materialize(cells.sparkSession.createDataFrame(fitted, cells.schema), "mix-cells"), done, error
+
+
+def rake(cells: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
+         rate: float | None = None) -> tuple[DataFrame, int, float]:
+    """Iterative proportional fitting of ``cells`` (source, lang, topic, tokens, w): the cells with w fitted, the rounds
+    taken and the largest error of a target as a share of all tokens. With a ``rate`` w is at most one where it is
+    used, and may pass one meanwhile."""
+    if cells.count() <= LOCAL_CELLS:
+        return _rake_local(cells, temper, rounds, tolerance, rate)
+    total = float(cells.agg(F.sum("tokens")).first()[0])
+    wanted = {name: materialize(targets(cells, name, total, temper, rate), "mix-targets") for name in NAMES}
+    full = F.lit(False) if rate is None else F.col("w") >= 1
     error, done = float("inf"), 0
     while done < rounds and error > tolerance:
         done += 1
-        sums = (sources().select("factor", F.explode("cells").alias("c"))
-                .groupBy(F.col("c.lang").alias("lang"), F.col("c.topic").alias("topic"))
-                .agg(F.sum(F.col("factor") * F.col("c.tokens") / F.lit(total)).alias("tokens")).collect())
-        raked = {(r["lang"], r["topic"]): r["tokens"] * factors["lang"][r["lang"]] * factors["topic"][r["topic"]]
-                 for r in sums}
         error = 0.0
-        for at, name, shares in ((0, "lang", language_shares), (1, "topic", topic_shares)):
-            got = dict.fromkeys(shares, 0.0)
-            for key, tokens in raked.items():
-                got[key[at]] += tokens
-            ratio = {k: shares[k] / got[k] if got[k] else 1.0 for k in shares}
-            error = max([error, *(abs(shares[k] - got[k]) for k in shares if got[k])])
-            factors[name] = {k: v * ratio[k] for k, v in factors[name].items()}
-            raked = {key: tokens * ratio[key[at]] for key, tokens in raked.items()}
-    fitted = materialize(sources().select("source", "factor", "cells"), "mix-factors")
-    return Calibration(fitted, factors["lang"], factors["topic"], done, error)
+        for name in NAMES:
+            sums = cells.groupBy(name).agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).cast("double").alias("whole"),
+                                           F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("w"))).alias("part"))
+            left = F.col("target") - F.col("whole")
+            ratio = F.when((left > 0) & (F.col("part") > 0), left / F.nullif("part", F.lit(0.0))).otherwise(
+                F.when(left < 0, F.col("target") / (F.col("whole") + F.col("part"))).otherwise(1.0))
+            ratios = materialize(sums.join(wanted[name], name).select(
+                name, ratio.alias("ratio"), F.abs(left - F.col("part")).alias("off")), "mix-ratios")
+            error = max(error, ratios.agg(F.max("off")).first()[0] / total)
+            cells = (cells.join(ratios.drop("off"), name).withColumn("w", F.col("w") * F.col("ratio")).drop("ratio"))
+        cells = materialize(cells, "mix-cells")
+    return cells, done, error
 
 
 def sampling_plan(docs: DataFrame, topics: int = TOPICS, temper: float = TEMPER, seed: int = 7,
-                  max_languages: int = LANGUAGES) -> DataFrame:
+                  rate: float = RATE) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, tokens, weight (mean 1 over all tokens), probability and
-    kept. ``max_languages`` languages with most tokens have targets of their own; the others are raked together."""
+    kept. ``rate`` (above 0, at most 1) is the expected share of all tokens that is kept."""
     rows = materialize(features(docs, topics), "mix-features")
-    counted = rows.groupBy("lang").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    languages = [r["lang"] for r in counted.collect()]
-    if not languages:
+    if rows.isEmpty():
         return rows.select("*", F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"),
                            F.lit(True).alias("kept"))
-    rows = rows.withColumn("folded", _folded(F.col("lang"), languages))
-    cells = rows.groupBy("source", F.col("folded").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
-    fitted = rake(cells, languages, temper)
-    weight = F.col("factor") * _lookup(fitted.languages, F.col("folded")) * _lookup(fitted.topics, F.col("topic"))
-    largest = (fitted.sources.select("factor", F.explode("cells").alias("c"))
-               .select((F.col("factor") * _lookup(fitted.languages, F.col("c.lang"))
-                        * _lookup(fitted.topics, F.col("c.topic"))).alias("w")).agg(F.max("w")).scalar())
-    # A source may hold most rows; the other side has one row per source, and AQE splits the large one.
-    weighed = (rows.join(fitted.sources.select("source", "factor"), "source").withColumn("weight", weight)
-               .withColumn("probability", F.col("weight") / F.lit(largest)))
-    return (weighed.withColumn("kept", uniform(seed) < F.col("probability"))
+    cells = materialize(rows.groupBy(*NAMES).agg(F.sum("tokens").alias("tokens")).withColumn("w", F.lit(1.0)), "mix-cells")
+    cells = rake(cells, temper)[0].withColumnRenamed("w", "weight").withColumn("w", F.col("weight") * F.lit(rate))
+    if cells.agg(F.max("w")).first()[0] > 1:
+        cells = rake(cells, temper, rate=rate)[0]
+    cells = cells.select(*NAMES, "weight", F.least(F.col("w"), F.lit(1.0)).alias("probability"))
+    # A source may hold most rows; the other side has one row per cell, and AQE splits the large one.
+    return (rows.join(cells, list(NAMES)).withColumn("kept", uniform(seed) < F.col("probability"))
             .select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept"))
 
 

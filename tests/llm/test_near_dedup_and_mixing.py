@@ -174,3 +174,33 @@ def test_sample_follows_the_probabilities(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in plan if r.kept}
     assert M.mix(docs.limit(0)).count() == 0
+
+
+def _odd_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["mountain", "rivers", "banks"]) for _ in range(rng.randrange(20, 60))),
+             rng.choice(["en"] * 4 + ["de"]), rng.choice(["s0", "s0", "s1"])) for i in range(4000)]
+    rows += [(9000, "word", None, None)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+
+
+def test_a_tiny_cell_does_not_set_the_rate(spark):
+    plan = M.sampling_plan(_odd_rows(spark)).collect()
+    total = sum(r.tokens for r in plan)
+    assert sum(r.probability * r.tokens for r in plan) == pytest.approx(0.5 * total, rel=1e-3)
+    assert next(r.probability for r in plan if r.doc_id == 9000) == 1
+    # Where supply suffices, shares follow the targets.
+    got = {s: sum(r.probability * r.tokens for r in plan if r.source == s) for s in ("s0", "s1")}
+    had = {s: sum(r.tokens for r in plan if r.source == s) for s in ("s0", "s1")}
+    assert got["s0"] / got["s1"] == pytest.approx((had["s0"] / had["s1"]) ** M.TEMPER, rel=1e-3)
+
+
+def test_cells_as_a_table_give_the_same_fit(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "en", 0, 900, 1.0), ("a", "de", 1, 300, 1.0), ("b", "en", 1, 200, 1.0), ("", "", 0, 1, 1.0)],
+                                  "source string, lang string, topic int, tokens bigint, w double").coalesce(1)
+    for rate in (None, 0.5):
+        monkeypatch.setattr(M, "LOCAL_CELLS", 50_000)
+        want = {r.source + r.lang: r.w for r in M.rake(cells, rounds=3, rate=rate)[0].collect()}
+        monkeypatch.setattr(M, "LOCAL_CELLS", 0)
+        got = {r.source + r.lang: r.w for r in M.rake(cells, rounds=3, rate=rate)[0].collect()}
+        assert got == pytest.approx(want)
