@@ -195,6 +195,21 @@ def test_a_tiny_cell_does_not_set_the_rate(spark):
     assert got["s0"] / got["s1"] == pytest.approx((had["s0"] / had["s1"]) ** M.TEMPER, rel=1e-3)
 
 
+def test_languages_of_any_number_meet_their_targets(spark):
+    rng = random.Random(9)
+    rows = [(i, "word " * rng.randrange(1, 40), f"l{int(100 * rng.random() ** 2):02d}", "s0") for i in range(6000)]
+    plan = M.sampling_plan(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    had, got = {}, {}
+    for r in plan:
+        had[r.lang] = had.get(r.lang, 0) + r.tokens
+        got[r.lang] = got.get(r.lang, 0) + r.tokens * r.weight
+    total = sum(had.values())
+    norm = sum((n / total) ** M.TEMPER for n in had.values())
+    assert len(had) == 100
+    for lang, n in had.items():
+        assert got[lang] / total == pytest.approx((n / total) ** M.TEMPER / norm, rel=1e-3)
+
+
 def test_cells_as_a_table_give_the_same_fit(spark, monkeypatch):
     cells = spark.createDataFrame([("a", "en", 0, 900, 1.0), ("a", "de", 1, 300, 1.0), ("b", "en", 1, 200, 1.0), ("", "", 0, 1, 1.0)],
                                   "source string, lang string, topic int, tokens bigint, w double").coalesce(1)
