@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm import oracles
 from flowloom.llm.common import read
 
 
@@ -83,9 +84,31 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.decontamination import contamination
+
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.fill_middle import fill_in_middle, restore
+
+    formed = restore(fill_in_middle(read(spark, sf_dir, "documents")))
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                         F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.vector_codes import compress
+
+    return compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_near_dedup, op2_lm_scoring, op3_packing, op4_toxicity, op5_chat_snapshots, op6_exact_dedup, op7_mixing, op8_token_counts,
-    op9_private_data, op10_neighbours)}
+    op9_private_data, op10_neighbours, op11_decontamination, op12_fill_middle, op13_vector_codes)}
 
 # Texts equal when A-Z are lower-cased; the largest identifier stays.
 ORACLES = {
@@ -109,4 +132,5 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       FROM documents)
 WINDOW same AS (PARTITION BY t)
 """,
+    **oracles.ORACLES,
 }
