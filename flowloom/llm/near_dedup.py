@@ -9,10 +9,11 @@ later than every register's. Two registers agree with the probability Jaccard of
 2. Registers are hashed in bands; texts that share a band meet in a bucket. Of each bucket the most central text (in
    the largest buckets over all its bands) is the pivot, and only (text, pivot) pairs are verified: the share of
    common distinct shingles must be ``similarity`` or more.
-3. Verified links are contracted to components; groups of copies become one component. Members of a bucket that
-   are then still in different components are compared across components, so that no link of a bucket is lost. Before
-   that, counts rule out what can't be alike: shingles that no other such text has can't be common to two, and
-   both texts need enough others. A family of copies edited so far that they are not alike ends here.
+3. Verified links are contracted to components; groups of copies become one component. Texts compared with the same
+   pivot that are then still in different components may be alike to each other and not to the pivot. Such two must
+   share elements of their differences from the pivot, and are found by a prefix join on these, so that no link of a
+   bucket is lost and a family of copies, each edited elsewhere, makes few pairs. Before that, counts rule out texts
+   with too many shingles that no other such text has.
 4. Components of all links are the classes.
 
 Nothing is gathered per group: buckets and components are aggregates and joins, and a pivot's shingles are repeated
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import ids_and_texts, keep_rows
+from flowloom.operators.lookups import lookup_join
 from flowloom.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
@@ -188,20 +190,58 @@ def _shingle_sets(incoming: Iterator[pa.RecordBatch], words: int, shared) -> Ite
                                              schema=_SETS)
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and their shingles p, x of pairs (a, b). ``a`` may stand in most pairs: its pairs are dealt over several
+    places and its set is sent to each of them."""
+    places = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+                         .withColumn("places", F.ceil(F.col("n") / PIVOT_PAIRS).cast("int")), "places")
+    left = (places.select("a", "places").join(sets.withColumnRenamed("key", "a"), "a")
+            .select("a", F.col("shingles").alias("p"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")))
+    right = (lookup_join(pairs.select("a", "b"), places, ["a"], "n", ["b"]).join(sets.withColumnRenamed("key", "b"), "b")
+             .select("a", "b", F.col("shingles").alias("x"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place")))
+    return right.join(left, ["a", "place"]).select("a", "b", "p", "x")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose distinct shingles are alike. ``a`` may stand in most pairs: its pairs are dealt over
-    several places and its set is sent to each of them."""
-    places = (pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-              .select("a", F.ceil(F.col("n") / PIVOT_PAIRS).cast("int").alias("places")))
-    left = (places.join(sets.withColumnRenamed("key", "a"), "a")
-            .select("a", F.col("shingles").alias("x"), "places",
-                    F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")))
-    right = (pairs.join(sets.withColumnRenamed("key", "b"), "b").join(places, "a")
-             .select("a", "b", F.col("shingles").alias("y"),
-                     F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place")))
-    common = F.size(F.array_intersect("x", "y"))
-    return (right.join(left, ["a", "place"])
-            .filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    """Pairs (a, b) whose distinct shingles are alike."""
+    common = F.size(F.array_intersect("p", "x"))
+    return with_sets(pairs, sets).filter(common >= similarity * (F.size("p") + F.size("x") - common)).select("a", "b")
+
+
+def pairs_by_differences(pairs: DataFrame, sets: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of texts that were compared with the same pivot P and are in different components.
+
+    Of D(x), the difference of x and P, alike x and y share at least t = (|D(x)| + |D(y)| - c (|x| + |y|)) / 2 elements,
+    c = (1 - s) / (1 + s), since |D(x) ^ D(y)| = |x ^ y| <= c (|x| + |y|). If x is not alike to P, t is above 0 for all
+    y but P: alike texts meet in an element of their differences. With all differences in one order, they meet among the
+    first |D| - t + 1; for those, a lower bound of t over all partners is taken. |D(y)| - c |y| is at least -c |P|, and
+    above c |P| if y is not alike to P either. What P lacks comes first: it is rarer than what was taken from P.
+    The first common element, at places i and j, leaves min(|D(x)| - i, |D(y)| - j) common ones, which must reach t.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    met = with_sets(pairs, sets)
+    sides = met.select("a", "b", F.size("x").alias("size"), F.size("p").alias("pivot"),
+                       F.sort_array(F.array_except("x", "p")).alias("added"), F.sort_array(F.array_except("p", "x")).alias("lost"))
+    sides = sides.withColumn("d", F.size("added") + F.size("lost"))
+    # Rounded down by more than the rounding of the products.
+    low = (F.col("d") - c * F.col("size")) / 2 - 1e-6
+    sides = (sides.withColumn("far", F.col("d") > c * (F.col("size") + F.col("pivot")) + 1e-6)
+             .withColumn("among_far", F.col("d") - F.ceil(low + c * F.col("pivot") / 2) + 1)
+             .withColumn("among_near", F.col("d") - F.ceil(low - c * F.col("pivot") / 2) + 1))
+    first = F.when(F.col("far"), F.col("among_near")).otherwise(F.col("among_far")).cast("int")
+    ordered = F.concat("added", "lost")
+    rows = (sides.filter(F.col("d") > 0).join(component, sides["b"] == component["key"]).drop("key")
+            .select("a", "b", "component", "size", "d", "far", "among_far",
+                    F.posexplode(F.slice(ordered, F.lit(1), F.greatest(F.least(first, F.col("d")), F.lit(0)))).alias("at", "e")))
+    rows = materialize(rows, "differences")
+    x, y = rows.alias("x"), rows.alias("y")
+    t = (F.col("x.d") + F.col("y.d") - c * (F.col("x.size") + F.col("y.size"))) / 2 - 1e-6
+    tight = (F.col("x.at") < F.col("x.among_far")) & (F.col("y.at") < F.col("y.among_far"))
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e"))
+    reach = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")) >= t
+    return (x.join(y, same & (F.col("x.component") < F.col("y.component")) & (F.col("x.far") | F.col("y.far"))
+                   & (tight | ~(F.col("x.far") & F.col("y.far"))) & reach)
+            .select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,29 +293,22 @@ def text_components(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     links = materialize(verified(pairs, sets, similarity), "links")
     labels = components(links)
 
-    # What is left: buckets whose members are in several components. Two texts can only be alike if both have enough
-    # shingles that occur in another member at all; a text with many shingles of its own has no partner.
-    members = (shared.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
-               .withColumn("component", F.coalesce("component", "key")))
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.filter(F.col("low") != F.col("high")).select("bucket")
-    members = materialize(members.join(mixed, "bucket", "left_semi"), "mixed-buckets")
-    open_sets = sets.join(members.select("key").distinct(), "key", "left_semi")
+    # What is left: pivots whose partners are in several components. Two texts can only be alike if both have enough
+    # shingles that occur in another such text at all; a text with many shingles of its own has no partner.
+    component = (sets.select("key").join(labels.withColumnRenamed("node", "key"), "key", "left")
+                 .withColumn("component", F.coalesce("component", "key")))
+    component = materialize(component, "components")
+    grouped = pairs.join(component.withColumnRenamed("key", "b"), "b")
+    mixed = grouped.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high"))
+    open_pairs = materialize(pairs.join(mixed.select("a"), "a", "left_semi"), "open-pairs")
+    open_sets = sets.join(open_pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi")
     own = (open_sets.select("key", F.explode("shingles").alias("s")).groupBy("s")
            .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).filter("n = 1")
            .groupBy("key").agg(F.count(F.lit(1)).alias("own")))
-    sizes = (open_sets.select("key", F.size("shingles").alias("size")).join(own, "key", "left")
-             .withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
-             .filter(F.col("shared") >= similarity * F.col("size")))
-    bands_of = signed.join(sizes.select("key"), "key", "left_semi").groupBy("key").agg(F.first("bands").alias("bands"))
-    members = materialize(members.join(sizes, "key").join(bands_of, "key"), "open-members")
-    x, y = members.alias("x"), members.alias("y")
-    # A pair is made in the first of its buckets only.
-    alike = (F.col("x.component") < F.col("y.component")) & (
-        F.least("x.shared", "y.shared") * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size"))) & (
-        F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))
-    rest = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & alike)
-            .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+    hopeful = (open_sets.select("key", F.size("shingles").alias("size")).join(own, "key", "left")
+               .filter(F.col("size") - F.coalesce("own", F.lit(0)) >= similarity * F.col("size")).select(F.col("key").alias("b")))
+    open_pairs = materialize(open_pairs.join(hopeful, "b", "left_semi"), "hopeful-pairs")
+    rest = pairs_by_differences(open_pairs, sets, component, similarity)
     known = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = materialize(rest.join(known, ["a", "b"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
@@ -288,10 +321,10 @@ def text_components(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
 def near_classes(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (it has that id)."""
-    classed = text_components(docs, **options).select("doc_id", "component")
+    classed = materialize(text_components(docs, **options).select("doc_id", "component"), "classed")
     classes = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"),
                                                F.count(F.lit(1)).alias("class_size"))
-    return (classed.join(classes, "component")
+    return (lookup_join(classed, materialize(classes.withColumn("weight", F.col("class_size")), "classes"), ["component"], "weight", ["doc_id"])
             .select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
 
 

@@ -103,6 +103,67 @@ def test_a_hot_group_has_few_pairs(spark, monkeypatch):
     assert sum(seen) < 300 * 24
 
 
+def _far_family(n, seed=5):
+    """Copies of one text, each edited elsewhere so far that it is alike to nothing."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for j in rng.sample(range(200), 14):
+            copy[j] = f"x{i}_{j}"
+        out.append(" ".join(copy))
+    return " ".join(base), out
+
+
+@pytest.mark.parametrize("n", [150, 600])
+def test_a_family_of_distant_copies_makes_few_pairs(spark, monkeypatch, n):
+    base, far = _far_family(n)
+    rng = random.Random(9)
+    near = []
+    for i in range(n):
+        copy = base.split()
+        copy[rng.randrange(200)] = f"y{i}"
+        near.append(" ".join(copy))
+    docs = list(enumerate([base, *near, *far, far[0] + " tail", far[1] + " tail"]))
+    made = []
+    found = N.pairs_by_differences
+
+    def counting(*args):
+        out = found(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "pairs_by_differences", counting)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    # More bands of fewer rows: distant texts share buckets.
+    got = {r.doc_id: r.class_id for r in N.near_classes(frame, bands=40, band_rows=2).collect()}
+    assert all(got[i] == 0 for i in range(n + 1))
+    assert got[2 * n + 1] == n + 1 and got[2 * n + 2] == n + 2
+    assert sum(v != k for k, v in got.items()) == n + 2
+    assert sum(made) < n
+
+
+def test_texts_alike_to_each_other_and_not_to_their_pivot(spark):
+    """Sub-families around a base: all links inside a bucket are found, whatever its pivot is."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for f in range(25):
+        middle = list(base)
+        for j in rng.sample(range(120), rng.randrange(3, 9)):
+            middle[j] = f"f{f}_{j}"
+        for i in range(4):
+            copy = list(middle)
+            for j in rng.sample(range(120), rng.randrange(0, 3)):
+                copy[j] = f"z{f}_{i}_{j}"
+            texts.append(" ".join(copy[:rng.randrange(105, 121)]))
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in N.near_classes(frame, bands=60, band_rows=1).collect()}
+    assert got == _classes(docs) and len(set(got.values())) > 3
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     a = {int(e): float(w) for e, w in zip(rng.integers(0, 2**62, 400), rng.integers(1, 6, 400))}
