@@ -55,7 +55,8 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():  # one piece for the pattern, which the model takes as it is
             ids = np.array([t.id for t in self.model.tokenize(word.lower())], "<u4").tobytes()
-        elif len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2] < "ɐ":
+        elif len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2] < "ɐ" and len(word[-2].lower()) == 1:
+            # İ is out: lower-cased it ends in a combining dot, which makes one piece with punctuation.
             ids = self[word[:-1]] + self[word[-1]]  # the pattern splits punctuation from letters
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()

@@ -121,6 +121,17 @@ def test_memo_gives_the_librarys_tokens(text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == words.encode(text, add_special_tokens=False).ids
 
 
+def test_words_before_punctuation_give_the_librarys_tokens():
+    """All letters below U+0250, combining marks and title case, in front of what the shortcut cuts off."""
+    rng = random.Random(8)
+    encoder = P.WordEncoder(WORDS)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()] + list("İıſŉǅǈǋǲẞﬁ") + [chr(c) for c in (0x300, 0x301, 0x307, 0x323, 0x345)]
+    words = [a + end for a in letters for end in (".", ",", "..", ".,", "")]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) + rng.choice([".", ",", "'s.", "1.", ".,", ""]) for _ in range(100_000)]
+    want = encoder.tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [w for w, e in zip(words, want) if np.frombuffer(encoder.encode(w), "<u4").tolist() != e.ids] == []
+
+
 def test_count_tokens_uses_the_cache(spark, docs, tmp_path):
     cache = str(tmp_path / "cache")
     tokenizer = T.load_tokenizer(BYTES)

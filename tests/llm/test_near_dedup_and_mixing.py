@@ -280,3 +280,32 @@ def test_cells_as_a_table_give_the_same_fit(spark, monkeypatch):
         monkeypatch.setattr(M, "LOCAL_CELLS", 0)
         got = {r.source + r.lang: r.w for r in M.rake(cells, rounds=3, rate=rate)[0].collect()}
         assert got == pytest.approx(want)
+
+
+def _mixed_rows(n, doc_id, text):
+    return [(doc_id, text(i), ["en", "fr"][i % 2], ["a", "b", "c"][i % 3], 0, "x", "y") for i in range(n)]
+
+
+@pytest.mark.parametrize("text", [lambda i: f"word{i} some more words", lambda i: "the same words"])
+@pytest.mark.parametrize("seed", [7, 8])
+def test_rows_without_an_id_are_drawn_one_by_one(spark, text, seed):
+    docs = spark.createDataFrame(_mixed_rows(2000, None, text) + _mixed_rows(2000, 5, text), SCHEMA).repartition(6)
+    kept = M.mix(docs, seed=seed)
+    assert kept.columns == docs.columns
+    by_id = {r.doc_id: r["count"] for r in kept.groupBy("doc_id").count().collect()}
+    assert all(850 < by_id[i] < 1150 for i in (None, 5))
+    plan = M.sampling_plan(docs, seed=seed)
+    assert plan.filter("kept").count() == sum(by_id.values())
+
+
+def test_a_callers_shares_are_met(spark):
+    docs = spark.createDataFrame(_mixed_rows(6000, 1, lambda i: f"word{i % 50} some more words {i}"), SCHEMA).repartition(4)
+    shares = {"source": {"a": 0.6}, "lang": {"en": 0.3, "fr": 0.7}}
+    plan = M.sampling_plan(docs, rate=0.2, shares=shares).collect()
+    assert {r.raking_error for r in plan}.pop() < 1e-5
+    total = sum(r.probability * r.tokens for r in plan)
+    for name, value, share in (("source", "a", 0.6), ("lang", "en", 0.3), ("source", "b", 0.2)):
+        assert abs(sum(r.probability * r.tokens for r in plan if r[name] == value) / total - share) < 0.01
+    # More of a source than there is: it is kept whole, and what is missed is told.
+    plan = M.sampling_plan(docs, rate=0.8, shares={"source": {"a": 0.9}}).collect()
+    assert all(r.probability > 0.999 for r in plan if r.source == "a")
