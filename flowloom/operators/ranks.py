@@ -21,8 +21,9 @@ def hash_key(keys: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-# Rows that one task ranks.
+# Rows that one task ranks, by hash slices and by range parts.
 SLICE_ROWS = 500_000
+PART_ROWS = 1_000_000
 
 
 def slice_digits(n: int) -> int:
@@ -90,9 +91,11 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: list
     """Add ``<value>_before`` and ``<value>_total`` per group in ascending ``order``.
 
     ``df`` must hold one row per (group, order): aggregate ties first, which also
-    takes care of a value shared by many rows.
+    takes care of a value shared by many rows. The number of parts follows the rows: a part's
+    window is one task, which the runtime can't split.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(least, -(-df.count() // PART_ROWS))
     rows = materialize(df.repartitionByRange(parts, *group, *order)
                        .withColumn("_part", F.spark_partition_id()), "ranged")
     local = Window.partitionBy(*group, "_part")

@@ -149,7 +149,7 @@ def capture_errors(spark, sf):
 
 def capture_frame_counts(spark, sf):
     """Frames per readable file: classic, newer, old packet blocks, compressed."""
-    index = C.index_captures(spark, FF.mixed_capture_folder(spark, sf), chunk_bytes=1 << 12)
+    index = materialize(C.index_captures(spark, FF.mixed_capture_folder(spark, sf), chunk_bytes=1 << 12), "capture-index")
     return (C.read_frames(index).groupBy("capture").agg(F.count(F.lit(1)).alias("n_frames"),
                                                          F.max("frame_no").alias("last_frame"))
             .select(_file(), "n_frames", "last_frame"))

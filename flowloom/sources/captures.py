@@ -251,11 +251,16 @@ def index_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTE
     return files.mapInPandas(walk, INDEX_SCHEMA)
 
 
-def read_frames(index: DataFrame, batch_rows: int = 4096, tasks: int | None = None) -> DataFrame:
-    """Frames of indexed chunks, each chunk on its own wherever it lands.
+# Chunks that one task reads: with chunks of bounded length that bounds a task's bytes.
+CHUNKS_PER_TASK = 4
 
-    The number of tasks is set here: index rows are tiny, and a partition count left to
-    the runtime would be merged down to one.
+
+def read_frames(index: DataFrame, batch_rows: int = 4096, chunks_per_task: int = CHUNKS_PER_TASK) -> DataFrame:
+    """Frames of indexed chunks, each chunk on its own wherever it lands. Pass a stored index: it is counted.
+
+    The number of tasks follows the chunks, so it grows with the captures' bytes; few chunks get a task each. It is set
+    here because index rows are tiny: a partition count left to the runtime would be merged down to one. Chunks are dealt
+    one by one, so no task gets more than its share.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,10 +268,11 @@ def read_frames(index: DataFrame, batch_rows: int = 4096, tasks: int | None = No
                 with open_path(row["capture"]) as f:
                     yield from _frame_batches(f, row, batch_rows)
 
-    spark = index.sparkSession
-    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     good = index.filter(F.col("error").isNull())
-    return good.repartition(tasks, "capture", "chunk").mapInArrow(read, FRAME_SCHEMA)
+    chunks = good.count()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-chunks // chunks_per_task), min(chunks, cores), 1)
+    return good.repartition(tasks).mapInArrow(read, FRAME_SCHEMA)
 
 
 def capture_errors(index: DataFrame) -> DataFrame:
