@@ -13,13 +13,15 @@ Jobs:
 1. Every task turns its texts into blocks of about ``BLOCK_BYTES``: the block's sorted word hashes and the texts as
    positions in them. The blocks are stored, and everything below works on them.
 2. Words: one row per block and word. Of words that several blocks have, each gets the whole table's counts back.
-3. Bigrams: every block sends its different bigrams with counts, cut into shards by context. Contexts that are
-   frequent in a sample are cut by the following word instead; the sample decides where a count is summed, not
-   what it is. Shards sum counts and are stored.
-4. Filter: shards fill segments of it, sized by their entries. The whole filter has ``MAX_BITS`` bits at most, which is
-   the bound of what is broadcast. If all levels need more, the lowest levels are left out of it, for all n-grams
-   alike: the same rule at every size.
-5. Blocks are scored against filter and word counts.
+3. Bigrams: every block sends its different bigrams with counts, cut into shards by context. Words that fill a shard of
+   their own as contexts are cut by the following word instead. The number of shards follows the training tokens.
+   Shards sum counts and are stored.
+4. Filter: shards fill segments of it, ``BITS_PER_ENTRY`` bits for each entry. All n-grams of all levels are in it.
+5. Scoring: ``max_bits`` bounds what is broadcast at a time. A larger filter is cut into slices of shards; each slice is
+   broadcast in turn, every block adds up the tokens whose bigrams lie in it, and the last one adds all sums up. A
+   slice costs one pass over the stored blocks, so give ``max_bits`` the memory that a worker can spare.
+
+Scores depend neither on ``max_bits`` nor on the partitioning of the table.
 
 Word identity is a 64-bit hash. Training rows are those whose crc32(doc_id as text) mod 5 is not 1. Null texts are
 empty; a null id counts as the empty text for the fold; repeated rows count each time; an empty table gives no rows.
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +48,12 @@ from flowloom.session import materialize
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 16 << 20
 MAX_BITS = 1 << 29
-BITS_PER_ENTRY, LEAST_BITS_PER_ENTRY = 12, 7
+BITS_PER_ENTRY = 12
 PROBES = 4
 BASE = 1.5
 LEVELS = 256
 SCORE_TOKENS = 1 << 18  # tokens whose probabilities are computed at a time
-HOT_SAMPLE_ROWS, HOT_CONTEXTS = 4_000, 256
+SHARD_TOKENS, MAX_HOT = 1 << 20, 1 << 16
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 _G = np.uint64(0x9E3779B97F4A7C15)
 _FOLLOWERS = np.uint64(0xD6E8FEB86659FD93)
@@ -165,9 +168,9 @@ SHARDS = pa.schema([("shard", pa.int64()), ("contexts", pa.binary()), ("sizes",
                     ("words", pa.binary()), ("counts", pa.binary())])
 _SHARDS = "shard bigint, contexts binary, sizes binary, words binary, counts binary"
 SUMMED = pa.schema([("shard", pa.int64()), ("contexts", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()),
-                    ("levels", pa.binary()), ("entries", pa.list_(pa.int64())),
+                    ("levels", pa.binary()), ("entries", pa.int64()),
                     ("hot", pa.list_(pa.int64())), ("hot_sizes", pa.list_(pa.int64()))])
-_SUMMED = ("shard bigint, contexts binary, sizes binary, words binary, levels binary, entries array<bigint>, "
+_SUMMED = ("shard bigint, contexts binary, sizes binary, words binary, levels binary, entries bigint, "
            "hot array<bigint>, hot_sizes array<bigint>")
 
 
@@ -192,10 +195,9 @@ def _bigrams(incoming: Iterator[pa.RecordBatch], hot: np.ndarray, bits: int) ->
             contexts, words = b.words[pairs >> np.uint64(32)], b.words[pairs & np.uint64(0xFFFFFFFF)]
             shards = shard_of(contexts, words, hot, bits)
             order = np.argsort(shards, kind="stable")
-            cuts = np.searchsorted(shards[order], np.arange((1 << bits) + 1))
+            present, first = np.unique(shards[order], return_index=True)
             rows = []
-            for s in np.flatnonzero(np.diff(cuts)):
-                part = order[cuts[s]:cuts[s + 1]]
+            for s, part in zip(present, np.split(order, first[1:])):
                 c, sizes, w = _grouped(contexts[part], (words[part] >> np.uint64(32)).astype(np.uint32))
                 rows.append((int(s), c.tobytes(), _pack(sizes), w.tobytes(), _pack(counts[part].astype(np.uint32))))
             if rows:
@@ -233,11 +235,11 @@ def _sum_shard(key: tuple, table: pa.Table, hot: np.ndarray, base: float) -> pa.
     levels = level_of(counts, base)
     is_hot = np.isin(contexts, hot)
     followers = level_of(sizes[~is_hot & (sizes > 1)], base)
-    entries = np.bincount(levels, minlength=LEVELS) + np.bincount(followers, minlength=LEVELS)
+    entries = int(levels.sum() + followers.sum())  # one for each level up to an n-gram's own
     return pa.Table.from_arrays(
         [pa.array([key[0].as_py()]), pa.array([contexts.tobytes()]), pa.array([_pack(sizes)]),
          pa.array([words.tobytes()]), pa.array([_pack(levels.astype(np.uint8))]),
-         pa.array([entries.tolist()], pa.list_(pa.int64())),
+         pa.array([entries]),
          pa.array([contexts[is_hot].view(np.int64).tolist()], pa.list_(pa.int64())),
          pa.array([sizes[is_hot].tolist()], pa.list_(pa.int64()))], schema=SUMMED)
 
@@ -245,13 +247,13 @@ def _sum_shard(key: tuple, table: pa.Table, hot: np.ndarray, base: float) -> pa.
 # --- filter -----------------------------------------------------------------------------
 
 class LogBloom:
-    """Log-frequency Bloom filter in segments, one per shard.
+    """Log-frequency Bloom filter of the shards from ``first`` on, a segment for each."""
 
-    ``lowest`` is the first level that is stored; an n-gram below it reads as level 0.
-    """
+    def __init__(self, bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: int, base: float):
+        self.bits, self.starts, self.sizes, self.first, self.base = bits, starts, sizes, first, base
 
-    def __init__(self, bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lowest: int, base: float):
-        self.bits, self.starts, self.sizes, self.lowest, self.base = bits, starts, sizes, lowest, base
+    def holds(self, shards: np.ndarray) -> np.ndarray:
+        return (shards >= self.first) & (shards < self.first + len(self.sizes))
 
     @staticmethod
     def hashes(items: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,10 +273,11 @@ class LogBloom:
             h = h + step
 
     def level(self, items: np.ndarray, shards: np.ndarray) -> np.ndarray:
-        """Probe one level after the other until one is missing."""
+        """Probe one level after the other until one is missing. All shards are held ones."""
         found = np.zeros(len(items), np.int64)
+        shards = shards - self.first
         at = np.flatnonzero(self.sizes[shards] > 0)
-        level = self.lowest
+        level = 1
         while len(at):
             h, step = self.hashes(items[at], level)
             size, start = self.sizes[shards[at]], self.starts[shards[at]]
@@ -297,39 +300,40 @@ def follower_items(contexts: np.ndarray) -> np.ndarray:
     return mix(contexts ^ _FOLLOWERS)
 
 
-def _segments(incoming: Iterator[pa.RecordBatch], sizes: dict[int, int], lowest: int, hot: np.ndarray,
-              base: float) -> Iterator[pa.RecordBatch]:
+def segment_bits(entries: int) -> int:
+    return 8 * (entries * BITS_PER_ENTRY // 8 + 1) if entries else 0
+
+
+def _segments(incoming: Iterator[pa.RecordBatch], hot: np.ndarray, base: float) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("shard", pa.int64()), ("bits", pa.binary())])
     for batch in incoming:
         for row in batch.to_pylist():
-            size = sizes[row["shard"]]
             contexts, n = np.frombuffer(row["contexts"], np.uint64), _unpack(row["sizes"], np.uint32)
             several = ~np.isin(contexts, hot) & (n > 1)
             items = np.concatenate([bigram_items(np.repeat(contexts, n), np.frombuffer(row["words"], np.uint32)),
                                     follower_items(contexts[several])])
             levels = np.concatenate([_unpack(row["levels"], np.uint8), level_of(n[several], base)])
-            bits = np.zeros(size, bool)
-            for level in range(lowest, int(levels.max(initial=0)) + 1 if size else 0):
+            bits = np.zeros(segment_bits(row["entries"]), bool)
+            for level in range(1, int(levels.max(initial=0)) + 1):
                 LogBloom.fill(bits, items[levels >= level], level)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["shard"]]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], schema=schema)
 
 
 class Model:
-    """Filter, followers of hot contexts, and totals. The filter is what grows; it has MAX_BITS bits at most."""
+    """A slice of the filter, followers of hot contexts (MAX_HOT at most, read by level like all others), totals."""
 
-    def __init__(self, bloom: LogBloom, hot: dict[int, int], bits: int, total: int, distinct: int):
+    def __init__(self, bloom: LogBloom, hot: np.ndarray, hot_sizes: np.ndarray, bits: int, total: int, distinct: int):
         self.bloom, self.shard_bits, self.total, self.distinct = bloom, bits, total, distinct
-        self.hot = np.array(sorted(hot), np.uint64)
-        self.hot_sizes = np.array([hot[h] for h in sorted(hot)], np.float64)
+        self.hot = hot
+        self.hot_sizes = np.maximum(1.0, count_at(level_of(np.maximum(hot_sizes, 1), bloom.base), bloom.base))
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def followers(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """T(h) of the block's words; a context met once has one follower."""
-        shards = (words >> np.uint64(64 - self.shard_bits)).astype(np.int64)
-        several = np.flatnonzero(counts > 1)
+    def followers(self, words: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> np.ndarray:
+        """T(h) of the block's words as far as the slice has it; a context met once has one follower."""
+        several = np.flatnonzero((counts > 1) & self.bloom.holds(shards))
         out = np.ones(len(words))
         levels = self.bloom.level(follower_items(words[several]), shards[several])
         out[several] = np.maximum(1.0, count_at(levels, self.bloom.base))
@@ -338,25 +342,32 @@ class Model:
             out = np.where(self.hot[at] == words, self.hot_sizes[at], out)
         return np.minimum(out, np.maximum(counts, 1))
 
-    def score(self, block: Block, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: known tokens, base score, score. counts: of the block's words over all training texts."""
-        p1, followers = self.unigram(counts), self.followers(block.words, counts)
+    def base_scores(self, block: Block, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: known tokens, base score. counts: of the block's words over all training texts."""
+        return (np.add.reduceat((counts > 0)[block.tokens].astype(np.int64), block.starts),
+                np.add.reduceat(np.log10(self.unigram(counts))[block.tokens], block.starts))
+
+    def score(self, block: Block, counts: np.ndarray) -> np.ndarray:
+        """Per text: log10 probability of the tokens whose bigrams lie in the slice."""
+        shards = (block.words >> np.uint64(64 - self.shard_bits)).astype(np.int64)
+        is_hot = np.isin(block.words, self.hot)
+        p1, followers = self.unigram(counts), self.followers(block.words, counts, shards)
         contexts, now = block.contexts(), block.tokens
-        score = np.empty(len(now))
+        score = np.zeros(len(now))
         for at in range(0, len(now), SCORE_TOKENS):
-            part = slice(at, at + SCORE_TOKENS)
-            score[part] = np.log10(self._probability(block.words, contexts[part], now[part], counts, p1, followers))
-        starts = block.starts
-        return (np.add.reduceat((counts > 0)[now].astype(np.int64), starts),
-                np.add.reduceat(np.log10(p1)[now], starts), np.add.reduceat(score, starts))
-
-    def _probability(self, words: np.ndarray, contexts: np.ndarray, now: np.ndarray, counts: np.ndarray,
-                     p1: np.ndarray, followers: np.ndarray) -> np.ndarray:
+            h, w = contexts[at:at + SCORE_TOKENS], now[at:at + SCORE_TOKENS]
+            shard = np.where(is_hot[h], shards[w], shards[h])
+            mine = np.flatnonzero(self.bloom.holds(shard))
+            score[at + mine] = np.log10(self._probability(block.words, h[mine], w[mine], shard[mine], counts, p1,
+                                                          followers))
+        return np.add.reduceat(score, block.starts)
+
+    def _probability(self, words: np.ndarray, contexts: np.ndarray, now: np.ndarray, shards: np.ndarray,
+                     counts: np.ndarray, p1: np.ndarray, followers: np.ndarray) -> np.ndarray:
         known = counts[contexts] > 0
         p = p1[now]
         contexts, now = contexts[known], now[known]
-        h, w = words[contexts], words[now]
-        levels = self.bloom.level(bigram_items(h, w >> np.uint64(32)), shard_of(h, w, self.hot, self.shard_bits))
+        levels = self.bloom.level(bigram_items(words[contexts], words[now] >> np.uint64(32)), shards[known])
         c_h, t = counts[contexts].astype(np.float64), followers[contexts]
         # A bigram is no more frequent than its context or its word; this also bounds a false positive.
         c_hw = np.minimum(count_at(levels, self.bloom.base), np.minimum(c_h, counts[now]))
@@ -371,90 +382,128 @@ _RESULT = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, tr
            "base_score double, score double")
 
 
+def _counted(batch: pa.RecordBatch, i: int) -> tuple[Block, np.ndarray]:
+    """A block and its words' counts over all training texts."""
+    block = Block(batch, i)
+    counts = np.bincount(block.tokens[block.training()], minlength=len(block.words))
+    others = batch["counts"][i].values  # words that other blocks count, too
+    at = np.searchsorted(block.words, others.field("word").to_numpy().view(np.uint64))
+    counts[at] = others.field("n").to_numpy()
+    return block, counts
+
+
+def _score_slice(incoming: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Per block the sums of its texts over one slice."""
+    schema = pa.schema([("block", pa.int64()), ("scores", pa.binary())])
+    for batch in incoming:
+        for i in range(batch.num_rows):
+            scores = shared.value.score(*_counted(batch, i))
+            yield pa.RecordBatch.from_arrays([batch["block"].slice(i, 1), pa.array([scores.tobytes()])], schema=schema)
+
+
 def _score_blocks(incoming: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Results of the texts: the last slice's sums and those of the slices before."""
     model: Model = shared.value
     for batch in incoming:
         for i in range(batch.num_rows):
-            block = Block(batch, i)
-            counts = np.bincount(block.tokens[block.training()], minlength=len(block.words))
-            others = batch["counts"][i].values  # words that other blocks count, too
-            at = np.searchsorted(block.words, others.field("word").to_numpy().view(np.uint64))
-            counts[at] = others.field("n").to_numpy()
-            known, base, score = model.score(block, counts)
+            block, counts = _counted(batch, i)
+            known, base = model.base_scores(block, counts)
+            score = model.score(block, counts)
+            for before in batch["before"][i].as_py():
+                score = score + np.frombuffer(before, np.float64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.doc_ids, pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(known),
                  pa.array(np.full(len(known), model.total)), pa.array(base), pa.array(score)], schema=RESULT)
 
 
-def hot_contexts(docs: DataFrame, rows: int) -> np.ndarray:
-    """Hashes of the most frequent words of a sample, and of the end token. Only decides where bigrams are summed."""
-    fraction = min(1.0, HOT_SAMPLE_ROWS / max(1, rows))
-    words = (docs.sample(fraction, seed=1).select(F.explode(F.split(F.lower(F.substring("text", 1, 4000)), "\\s+"))
-                                                  .alias("word"))
-             .filter("word <> ''").groupBy("word").count().orderBy(F.desc("count"), "word").limit(HOT_CONTEXTS))
-    return np.unique(np.array([END, *(xxhash.xxh3_64_intdigest(r["word"].encode()) for r in words.collect())],
-                              np.uint64))
-
-
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """Per block the whole table's counts of those of its words that other blocks have as well (``counts``), its
-    training tokens, and how many different training words it is the first block of."""
+def word_counts(blocks: DataFrame, hot_count: int) -> DataFrame:
+    """Per block the whole table's counts of those of its words that other blocks have as well (``counts``), and of
+    the training words that it is the first block of their number and those with ``hot_count`` tokens or more."""
     words = blocks.mapInArrow(_word_rows, "block bigint, word bigint, n bigint")
     # A word has one row per block at most, so no word can fill a task.
     whole = Window.partitionBy("word")
     seen = words.withColumn("total", F.sum("n").over(whole)).withColumn("first", F.min("block").over(whole))
+    is_first = F.col("first") == F.col("block")
     return seen.groupBy("block").agg(
         F.collect_list(F.when(F.col("total") != F.col("n"), F.struct("word", F.col("total").alias("n")))).alias("counts"),
-        F.sum("n").alias("tokens"), F.count_if((F.col("first") == F.col("block")) & (F.col("total") > 0)).alias("firsts"))
+        F.count_if(is_first & (F.col("total") > 0)).alias("firsts"),
+        F.collect_list(F.when(is_first & (F.col("total") >= hot_count), F.col("word"))).alias("hot"))
 
 
-def fit(blocks: DataFrame, hot: np.ndarray, n_blocks: int, base: float, max_bits: int, total: int,
-        distinct: int) -> Model:
-    bits = min(16, max(4, n_blocks.bit_length() + 1))
+def bigram_shards(blocks: DataFrame, hot: np.ndarray, bits: int, base: float) -> DataFrame:
+    """Stored sums of bigrams, one row per shard."""
     sharded = blocks.mapInArrow(lambda it: _bigrams(it, hot, bits), _SHARDS)
-    summed = materialize(sharded.groupBy("shard").applyInArrow(
+    return materialize(sharded.groupBy("shard").applyInArrow(
         lambda key, table: _sum_shard(key, table, hot, base), _SUMMED), "bigram-shards")
 
-    entries = {r["shard"]: np.array(r["entries"]) for r in summed.select("shard", "entries").collect()}
-    hot_sizes: dict[int, int] = {int(h): 0 for h in hot}
-    for r in summed.select(F.explode(F.arrays_zip("hot", "hot_sizes")).alias("x")).groupBy("x.hot").agg(
-            F.sum("x.hot_sizes").alias("n")).collect():
-        hot_sizes[r["hot"] % (1 << 64)] = r["n"]
-
-    # An n-gram of level q has q - lowest + 1 entries.
-    at = np.arange(LEVELS)
-    lowest = 1
-    needed = {s: int((np.maximum(at - lowest + 1, 0) * e).sum()) for s, e in entries.items()}
-    while sum(needed.values()) * LEAST_BITS_PER_ENTRY > max_bits:
-        lowest += 1
-        needed = {s: int((np.maximum(at - lowest + 1, 0) * e).sum()) for s, e in entries.items()}
-    each = min(BITS_PER_ENTRY, max_bits / max(1, sum(needed.values())) * 0.99)
-    sizes = {s: 8 * (int(n * each) // 8 + 1) if n else 0 for s, n in needed.items()}
-    all_sizes, starts, at_bit = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), 0
-    for s in sorted(sizes):
-        all_sizes[s], starts[s] = sizes[s], at_bit
-        at_bit += sizes[s]
-    filter_bits = np.zeros(at_bit // 8 + 1, np.uint8)
-    # max_bits at most, in one array.
-    for r in summed.mapInArrow(lambda it: _segments(it, sizes, lowest, hot, base),
-                               "shard bigint, bits binary").collect():
-        first = int(starts[r["shard"]]) // 8
-        filter_bits[first:first + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return Model(LogBloom(filter_bits, starts, all_sizes, lowest, base), hot_sizes, bits, total, distinct)
+
+def slices(summed: DataFrame, bits: int, max_bits: int) -> list[tuple[int, int]]:
+    """Ranges of shards whose segments have ``max_bits`` bits at most; a single shard with more is a slice of its own."""
+    needed = F.when(F.col("entries") > 0, F.col("entries") * BITS_PER_ENTRY + 8).otherwise(0)
+    total = summed.agg(F.coalesce(F.sum(needed), F.lit(0)).alias("n")).first()["n"]
+    if total <= max_bits:
+        return [(0, 1 << bits)]
+    # About 16 runs of shards for each slice.
+    run_bits = min(bits, (16 * total // max_bits).bit_length())
+    width = 1 << (bits - run_bits)
+    runs = summed.groupBy(F.floor(F.col("shard") / width).alias("run")).agg(F.sum(needed).alias("n")).collect()
+    cuts, filled = [0], 0
+    for run in sorted(runs, key=lambda r: r["run"]):
+        if filled and filled + run["n"] > max_bits:
+            cuts.append(run["run"] * width)
+            filled = 0
+        filled += run["n"]
+    return list(zip(cuts, [*cuts[1:], 1 << bits]))
+
+
+def fill_slice(summed: DataFrame, first: int, end: int, hot: np.ndarray, base: float) -> LogBloom:
+    """The filter of the shards from ``first`` to ``end``, as large as ``slices`` allows."""
+    filled = (summed.filter(F.col("shard").between(first, end - 1))
+              .mapInArrow(lambda it: _segments(it, hot, base), "shard bigint, bits binary").collect())
+    filled.sort(key=lambda r: r["shard"])
+    sizes, starts = np.zeros(end - first, np.uint64), np.zeros(end - first, np.uint64)
+    at = np.array([r["shard"] - first for r in filled], np.int64)
+    sizes[at] = np.array([8 * len(r["bits"]) for r in filled], np.uint64)
+    starts[at] = np.cumsum(sizes[at]) - sizes[at]
+    return LogBloom(np.frombuffer(b"".join(bytes(r["bits"]) for r in filled) + b"\0", np.uint8), starts, sizes, first, base)
 
 
 def score_documents(docs: DataFrame, base: float = BASE, max_bits: int = MAX_BITS,
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    spark = docs.sparkSession
-    texts = ids_and_texts(docs)
-    blocks = materialize(texts.mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCKS), "lm-blocks")
-    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("doc_ids")).alias("rows")).first()
-    counts = materialize(word_counts(blocks), "lm-words")
-    totals = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"),
-                        F.coalesce(F.sum("firsts"), F.lit(0)).alias("distinct")).first()
-    model = fit(blocks, hot_contexts(texts, size["rows"] or 0), size["blocks"], base, max_bits, totals["total"],
-                totals["distinct"])
-    shared = spark.sparkContext.broadcast(model)
-    return (blocks.join(counts.select("block", "counts"), "block")
-            .mapInArrow(lambda it: _score_blocks(it, shared), _RESULT))
+    context = docs.sparkSession.sparkContext
+    blocks = materialize(ids_and_texts(docs).mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCKS), "lm-blocks")
+    trained = F.filter(F.arrays_zip("lengths", "held"), lambda d: ~d["held"])
+    total = blocks.agg(F.coalesce(F.sum(F.aggregate(trained, F.lit(0).cast("bigint"), lambda n, d: n + d["lengths"])),
+                                  F.lit(0)).alias("n")).first()["n"]
+    counts = materialize(word_counts(blocks, max(SHARD_TOKENS, -(-total // MAX_HOT))), "lm-words")
+    distinct = counts.agg(F.coalesce(F.sum("firsts"), F.lit(0)).alias("n")).first()["n"]
+    # MAX_HOT words at most: each has at least that share of the training tokens.
+    hot = np.sort(np.array([r["hot"] for r in counts.select(F.explode("hot").alias("hot")).collect()],
+                           np.int64).view(np.uint64))
+
+    bits = max(4, (total // SHARD_TOKENS).bit_length())
+    summed = bigram_shards(blocks, hot, bits, base)
+    followers = {r["hot"] % (1 << 64): r["n"] for r in summed.select(F.explode(F.arrays_zip("hot", "hot_sizes")).alias("x"))
+                 .groupBy("x.hot").agg(F.sum("x.hot_sizes").alias("n")).collect()}
+    hot_sizes = np.array([followers.get(int(h), 0) for h in hot], np.int64)
+
+    def broadcast(first: int, end: int):
+        bloom = fill_slice(summed, first, end, hot, base)
+        return context.broadcast(Model(bloom, hot, hot_sizes, bits, total, distinct))
+
+    counted = blocks.join(counts.select("block", "counts"), "block")
+    *earlier, last = slices(summed, bits, max_bits)
+    sums = []
+    for part in earlier:
+        shared = broadcast(*part)
+        sums.append(materialize(counted.mapInArrow(lambda it, shared=shared: _score_slice(it, shared),
+                                                   "block bigint, scores binary"), "lm-slice"))
+        shared.unpersist()
+    if sums:
+        stored = reduce(DataFrame.unionByName, sums)
+        counted = counted.join(stored.groupBy("block").agg(F.collect_list("scores").alias("before")), "block")
+    else:
+        counted = counted.withColumn("before", F.array().cast("array<binary>"))
+    shared = broadcast(*last)
+    return counted.mapInArrow(lambda it: _score_blocks(it, shared), _RESULT)

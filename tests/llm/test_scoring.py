@@ -72,19 +72,42 @@ def test_log_bloom_levels():
     for level in range(1, 9):
         L.LogBloom.fill(bits, items[levels >= level], level)
     bloom = L.LogBloom(np.packbits(bits, bitorder="little"), np.zeros(1, np.uint64),
-                       np.array([len(bits)], np.uint64), 1, 1.5)
+                       np.array([len(bits)], np.uint64), 0, 1.5)
     got = bloom.level(items, np.zeros(len(items), np.int64))
     assert (got >= levels).all() and (got == levels).mean() > 0.97
     other = bloom.level(rng.integers(0, 2**63, 5000).astype(np.uint64), np.zeros(5000, np.int64))
     assert (other > 0).mean() < 0.03
 
 
-def test_a_small_filter_leaves_out_low_levels(spark):
+def test_scores_depend_neither_on_slices_nor_on_partitions(spark, monkeypatch):
+    """Small shards, so that words with many tokens are cut by the following word."""
+    monkeypatch.setattr(L, "SHARD_TOKENS", 1 << 9)
     rng = random.Random(2)
-    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(50)], k=200))) for i in range(100)]
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(200)], weights=[200 // (j + 1) for j in range(200)], k=200)))
+            for i in range(100)] + [(None, None), (3, "w1 w2"), (3, "w1 w2"), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    small = L.score_documents(docs, max_bits=1 << 12).collect()
-    assert len(small) == 100 and all(math.isfinite(r.score) for r in small)
+
+    def scores(max_bits, partitions):
+        got = L.score_documents(docs.repartition(partitions), max_bits=max_bits, block_bytes=1 << 14).collect()
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.base_score, r.score) for r in got)
+
+    want = scores(1 << 29, 1)
+    assert len(want) == len(rows)
+    for max_bits, partitions in ((1 << 12, 3), (1 << 15, 1), (1 << 29, 4), (1 << 29, 16)):
+        got = scores(max_bits, partitions)
+        assert [i for i, _, _ in got] == [i for i, _, _ in want]
+        assert np.array([x[1:] for x in got]) == pytest.approx(np.array([x[1:] for x in want]), rel=1e-9)
+
+
+def test_slices_cover_all_shards(spark):
+    entries = [5_000, 0, 40, 9_000, 1, 1, 70_000, 300, 300, 300, 300, 300, 300, 300]
+    summed = spark.createDataFrame(list(enumerate(entries)), "shard bigint, entries bigint")
+    for max_bits in (1, 5_000, 100_000, 1 << 20, 1 << 29):
+        parts = L.slices(summed, 4, max_bits)
+        assert parts[0][0] == 0 and parts[-1][1] == 16 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+        for a, b in parts:
+            held = [L.segment_bits(n) for n in entries[a:b] if n]
+            assert sum(held) <= max_bits or len(held) == 1
 
 
 def test_gradients():
