@@ -421,7 +421,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_
     # About toxic_rows + clean_rows rows: this is what is broadcast.
     chosen = usable.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     texts = ids_and_texts(docs).filter(F.char_length("text") <= TRAIN_CHARS)
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # Of rows that repeat an id the first text counts; map-side combining leaves one row per task and id to shuffle.
+    return (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+            .select("doc_id", "text", "toxic"))
 
 
 def _fit(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

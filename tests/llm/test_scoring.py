@@ -110,6 +110,16 @@ def test_slices_cover_all_shards(spark):
             assert sum(held) <= max_bits or len(held) == 1
 
 
+def test_a_repeated_id_is_one_training_row(spark):
+    docs = spark.createDataFrame([(2, f"text {i:04}") for i in range(3000)] + [(3, "b"), (3, "a"), (None, "z")],
+                                 "doc_id bigint, text string")
+    labels = spark.createDataFrame([(2, 1), (2, 0), (3, 0), (None, 1)], "doc_id bigint, toxic int")
+    in_training = [i for i in (2, 3) if zlib.crc32(str(i).encode()) % 5 != 0]
+    want = {2: ("text 0000", 1), 3: ("a", 0)}
+    got = {r.doc_id: (r.text, r.toxic) for r in X.training_sample(docs.repartition(5), labels).collect()}
+    assert got == {i: want[i] for i in in_training} and got
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = X.Network({"ab": 1, "cd": 2})
