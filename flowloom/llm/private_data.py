@@ -12,17 +12,19 @@ social security numbers, bank accounts, spelled-out addresses, persons). Four la
 Vote patterns are counted over the whole table; there are at most a few hundred. Expectation-maximisation over these
 counts estimates how reliable each labeler is and gives every pattern a posterior. A logistic span classifier over
 kind, votes, length and share of digits is then trained on all candidates with the posteriors as soft labels.
-Candidates of the added kinds that it accepts, and that overlap no base span, become further spans; failed base
-matches take part in the training only.
+Candidates of the added kinds that it accepts, that pass the strict rule of their kind, and that overlap no base span,
+become further spans; added spans of different kinds may overlap. Failed base matches take part in the training only.
 
 Spans are in code points, end exclusive. Patterns are written with possessive repetition and anchors at the start of
-a run, so that very long runs take linear time. Null texts are empty and have no spans; null ids and repeated rows
+a run, so that very long runs take linear time; n matches of a text take n log n. Spelled-out addresses are found with up to
+64 and 63 characters a part, persons with names of up to 31 letters. Null texts are empty and have no spans; null ids and repeated rows
 give one result row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -67,12 +69,30 @@ CUES = {
     "person": "name|from|by|dear|contact|signed",
 }
 COUNTER_CUES = "version|order|invoice|ratio|isbn|page|figure|table|chapter|serial|build|release"
-CONTEXT = 32
+CONTEXT, PIECE = 32, 4096
 CODES = {"shape": (-1, 1), "gazetteer": (0, 1), "context": (-1, 0, 1), "border": (-1, 0)}
 EM_ROUNDS, SMOOTHING = 60, 0.5
 ACCEPT = 0.5
 
 
+# --- arrays -----------------------------------------------------------------------------
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals by an associative ``combine``: each step doubles the reach, so n values take n log n."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def reach(done: Column, step: Column) -> Column:
+        shift = F.pow(F.lit(2), step).cast("int")
+        return F.transform(done, lambda x, i: F.when(i >= shift, combine(x, F.get(done, i - shift))).otherwise(x))
+
+    return F.aggregate(steps, values, reach)
+
+
 # --- spans ------------------------------------------------------------------------------
 
 def located(text: Column, kind: str) -> Column:
@@ -80,19 +100,16 @@ def located(text: Column, kind: str) -> Column:
     between the matches; gaps and matches give the places."""
     matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches,
-                       lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("match")))
-    span = "array<struct<start:int,end:int,match:string>>"
 
-    def step(done: Column, s: Column) -> Column:
-        start = done["at"] + s["gap"]
-        end = start + F.char_length(s["match"])
-        new = F.struct(start.alias("start"), end.alias("end"), s["match"].alias("match"))
-        return F.struct(end.alias("at"), F.array_append(done["spans"], new).alias("spans"))
+    def spans(cut: Column) -> Column:
+        steps = F.zip_with(F.slice(cut["gaps"], F.lit(1), F.size(cut["matches"])), cut["matches"],
+                           lambda g, m: F.char_length(g) + F.char_length(m))
+        return F.zip_with(running(steps, lambda x, y: x + y), cut["matches"], lambda end, m: F.struct(
+            (end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("match")))
 
-    empty = F.array().cast(span)
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda d: d["spans"])
-    return F.when(text.rlike(HINTS[kind]), found).otherwise(empty)
+    found = bound(F.struct(gaps.alias("gaps"), matches.alias("matches")), spans)
+    return F.when(text.rlike(HINTS[kind]), found).otherwise(
+        F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
 def digits_of(match: Column) -> Column:
@@ -142,11 +159,16 @@ def gazetteer(kind: str, match: Column) -> Column:
 
 
 def votes(text: Column, kind: str, spans: Column) -> Column:
-    """Spans with the four votes."""
-    def of(span: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1),
-                             F.least(F.lit(CONTEXT), span["start"]))
-        around = F.concat(F.substring(before, -1, 1), F.lit("\n"), F.substring(text, span["end"] + 1, F.lit(1)))
+    """Spans with the four votes. What surrounds a span is read from pieces of ``PIECE`` characters, not from the start of
+    the text."""
+    def of(span: Column, pieces: Column) -> Column:
+        first = F.greatest(F.lit(0), span["start"] - CONTEXT)
+        piece = F.floor(first / PIECE).cast("int")
+        two = F.concat(F.get(pieces, piece), F.coalesce(F.get(pieces, piece + 1), F.lit("")))
+        before = F.substring(two, first - piece * PIECE + 1, span["start"] - first)
+        after = F.substring(F.coalesce(F.get(pieces, F.floor(span["end"] / PIECE).cast("int")), F.lit("")),
+                            span["end"] % PIECE + 1, F.lit(1))
+        around = F.concat(F.substring(before, -1, 1), F.lit("\n"), after)
         context = (F.when(before.rlike(rf"(?i)\b(?:{CUES[kind]})\b"), 1)
                    .when(before.rlike(rf"(?i)\b(?:{COUNTER_CUES})\b"), -1).otherwise(0))
         return F.struct(
@@ -157,7 +179,11 @@ def votes(text: Column, kind: str, spans: Column) -> Column:
             F.least(F.lit(5), F.floor((span["end"] - span["start"]) / 8)).cast("int").alias("size"),
             F.round(F.length(digits_of(span["match"])) / (span["end"] - span["start"]), 1).alias("digits"))
 
-    return F.transform(spans, of)
+    def all_of(found: Column) -> Column:
+        pieces = F.when(F.size(found) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+        return bound(pieces, lambda cut: F.transform(found, lambda span: of(span, cut)))
+
+    return bound(spans, all_of)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -242,9 +268,31 @@ def find_private(docs: DataFrame) -> DataFrame:
     base = F.filter("found", lambda s: is_base(s) & (s["shape"] == 1))
     rows = found.select("doc_id", "found", base.alias("base"))
     scored = F.transform(F.filter("found", lambda s: ~is_base(s)), lambda s: s.withField("probability", probability(s)))
-    added = F.filter(scored, lambda s: (s["probability"] >= ACCEPT) & (s["shape"] == 1) & ~F.exists(
-        "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.select("doc_id", "base", added.alias("added"))
+    accepted = F.filter(scored, lambda s: (s["probability"] >= ACCEPT) & (s["shape"] == 1))
+    return rows.select("doc_id", "base", apart(accepted, F.col("base")).alias("added"))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """``spans``, in their order, that overlap none of ``others``.
+
+    Of all others that start before a span ends, the farthest end tells. So both are sorted by place, the others by their
+    start and the spans by their last character, and the farthest end so far is a running maximum.
+    """
+    nothing = F.lit(None)
+    opened = F.transform(others, lambda o: F.struct(
+        o["start"].alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("place"), o["end"].alias("end")))
+    asked = F.transform(spans, lambda s, i: F.struct(
+        (s["end"] - 1).alias("at"), F.lit(1).alias("kind"), i.alias("place"), nothing.cast("int").alias("end")))
+
+    def free(events: Column) -> Column:
+        far = running(F.transform(events, lambda e: F.coalesce(e["end"], F.lit(0))), lambda x, y: F.greatest(x, y))
+        ends = F.filter(F.zip_with(events, far, lambda e, f: F.struct(e["kind"].alias("kind"), e["place"].alias("place"),
+                                                                      f.alias("far"))), lambda e: e["kind"] == 1)
+        by_place = F.transform(F.array_sort(F.transform(ends, lambda e: F.struct(e["place"], e["far"]))),
+                               lambda e: e["far"])
+        return bound(by_place, lambda far: F.filter(spans, lambda s, i: F.get(far, i) <= s["start"]))
+
+    return bound(F.array_sort(F.concat(opened, asked)), free)
 
 
 def span_texts(spans: Column) -> Column:

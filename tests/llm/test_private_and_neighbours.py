@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from flowloom.llm import neighbours as N
 from flowloom.llm import private_data as P
@@ -77,6 +78,28 @@ def test_base_spans_of_random_texts(spark, texts):
         assert got == _base(texts[r.doc_id])
 
 
+def test_many_matches_in_one_text(spark):
+    """Places, context and overlaps are right far into a text."""
+    text = " ".join(f"é mail u{i}@x{i}.org tel (212) 555-0199" if i % 2 else f"ü 10.0.{i % 256}.7" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, "mail a@b.co")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in P.find_private(docs).collect()}
+    assert [(s.kind, s.start, s.end) for s in rows[1].base] == _base(text)
+    phones = [(s.start, s.end) for s in rows[1].added if s.kind == "local_phone"]
+    assert phones == [m.span() for m in re.finditer(r"\(212\) 555-0199", text)]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(*[st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=12)] * 2), min_size=10,
+                max_size=10))
+def test_spans_apart(spark, pairs):
+    rows = [(i, *[[(a, a + n) for a, n in side] for side in pair]) for i, pair in enumerate(pairs)]
+    kind = "array<struct<start:int,end:int>>"
+    table = spark.createDataFrame(rows, f"id int, spans {kind}, others {kind}").coalesce(1)
+    for r in table.select("id", P.apart(F.col("spans"), F.col("others")).alias("got")).collect():
+        _, spans, others = rows[r.id]
+        assert [tuple(s) for s in r.got] == [s for s in spans if not any(o[0] < s[1] and s[0] < o[1] for o in others)]
+
+
 def test_reliabilities_find_the_bad_labeler():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.4
