@@ -53,7 +53,7 @@ PROBES = 4
 BASE = 1.5
 LEVELS = 256
 SCORE_TOKENS = 1 << 18  # tokens whose probabilities are computed at a time
-SHARD_TOKENS, MAX_HOT = 1 << 20, 1 << 16
+SHARD_TOKENS, MAX_HOT = 1 << 18, 1 << 16
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 _G = np.uint64(0x9E3779B97F4A7C15)
 _FOLLOWERS = np.uint64(0xD6E8FEB86659FD93)
@@ -465,7 +465,11 @@ def fill_slice(summed: DataFrame, first: int, end: int, hot: np.ndarray, base: f
     at = np.array([r["shard"] - first for r in filled], np.int64)
     sizes[at] = np.array([8 * len(r["bits"]) for r in filled], np.uint64)
     starts[at] = np.cumsum(sizes[at]) - sizes[at]
-    return LogBloom(np.frombuffer(b"".join(bytes(r["bits"]) for r in filled) + b"\0", np.uint8), starts, sizes, first, base)
+    bits = np.zeros(int(sizes.sum()) // 8 + 1, np.uint8)
+    for i in at:
+        row = filled.pop(0)
+        bits[int(starts[i]) // 8:int(starts[i]) // 8 + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return LogBloom(bits, starts, sizes, first, base)
 
 
 def score_documents(docs: DataFrame, base: float = BASE, max_bits: int = MAX_BITS,
