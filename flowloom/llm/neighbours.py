@@ -4,14 +4,17 @@
 * First graph: nodes are cut into small groups by the signs of random projections, several times; groups that are too
   large are dealt at random. Within a group all distances are known, and each node keeps its nearest.
 * NN-descent: every node's list (neighbours, a sample of those that point to it, itself) is joined to vectors; within a
-  list each pair is compared, and a pair that improves one end's list is sent to it. Rounds end when few edges change.
-* Search: a query starts at its own node's list and at some nodes spread over the graph. Each round expands its
-  nearest unexpanded nodes through joins with graph and vectors and keeps the ``POOL`` nearest. The found nodes are
-  then measured on the original vectors in double precision.
-
-Half-precision vectors are what travels while the graph is built and searched. All state is keyed by node or query and
-bounded per key, and each round is a stored table. Lists per node are bounded because the method samples; every
-vector is a node, and recall is measured against brute force in the tests.
+  list each pair with an edge that the last round added is compared, and a pair that improves one end's list is sent to
+  it. Rounds go on until fewer than ``LEAST_CHANGE`` of the edges change.
+* Search: a query starts at its own node and at some nodes spread over the graph. Each round expands its nearest
+  unexpanded nodes through joins with graph and vectors and keeps the ``POOL`` nearest. A search ends when its whole
+  pool is expanded; there is no limit on rounds. The found nodes are then measured on the original vectors in double
+  precision.
+
+Half-precision vectors are what travels while the graph is built and searched, scaled so that the median of their
+largest components is 1; components beyond 60000 times that are cut, those below a ten millionth of it are 0 there. All
+state is keyed by node or query and bounded per key, and each round is a stored table. Lists per node are bounded
+because the method samples; every vector is a node, and recall is measured against brute force in the tests.
 
 Rows with a null id, a null vector, a null or non-finite component, a zero vector, or a length other than the most
 frequent one take no part. Of rows that repeat an id the first by vector counts. An empty table gives no rows.
@@ -29,10 +32,10 @@ from pyspark.sql import functions as F
 from flowloom.session import materialize
 
 NEIGHBOURS, REVERSE = 20, 12
-FIRST_CUTS, GROUP = 6, 96
-ROUNDS, LEAST_CHANGE = 8, 0.02
-SENT_PER_LIST = 4
-POOL, EXPAND, SEARCH_ROUNDS, ENTRIES = 96, 8, 12, 32
+FIRST_CUTS, GROUP, SENT_PER_GROUP = 20, 512, 5
+LEAST_CHANGE = 0.1
+SENT_PER_LIST = 6
+POOL, EXPAND, ENTRIES = 320, 64, 32
 VECTOR_BATCH = "4096"
 
 _EDGE = pa.schema([("node", pa.int64()), ("nbr", pa.int64()), ("d", pa.float32())])
@@ -123,11 +126,14 @@ def _all_in_group(table: pa.Table, k: int) -> tuple:
     return ids[rows], ids[columns], d[rows, columns]
 
 
-def _local_join(table: pa.Table) -> tuple:
-    """Pairs of a list that beat an end's farthest neighbour."""
+def _local_join(table: pa.Table) -> tuple | None:
+    """Pairs of a list, at least one end fresh in it, that beat an end's farthest neighbour."""
+    fresh = table["fresh"].to_numpy() > 0
+    if not fresh.any():
+        return None
     ids, x, bound = table["node"].to_numpy(), _halves(table["v"]), table["bound"].to_numpy()
     d = distances(x)
-    d[d >= bound[:, None]] = np.inf
+    d[(d >= bound[:, None]) | ~(fresh[:, None] | fresh[None, :])] = np.inf
     rows, columns = _nearest(d, SENT_PER_LIST)
     return ids[rows], ids[columns], d[rows, columns]
 
@@ -145,16 +151,16 @@ def _codes(incoming: Iterator[pa.RecordBatch], cuts: int, bits: int) -> Iterator
                                               batch["node"], batch["v"]], schema=schema)
 
 
-def _half_vectors(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _half_vectors(incoming: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("node", pa.int64()), ("v", pa.binary())])
     for batch in incoming:
-        vectors = [np.array(v, np.float64).clip(-60000, 60000).astype(np.float16).tobytes()
+        vectors = [(np.array(v, np.float64) / scale).clip(-60000, 60000).astype(np.float16).tobytes()
                    for v in batch["vec"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(vectors, pa.binary())], schema=schema)
 
 
 def _measure(incoming: Iterator[pa.RecordBatch], half: bool) -> Iterator[pa.RecordBatch]:
-    """Distances of (x, y) rows: squared in half precision, or Euclidean on doubles."""
+    """Distances of (x, y) rows: squared in half precision, up to ``worst``, or Euclidean on doubles."""
     schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("d", pa.float64())])
     for batch in incoming:
         if not batch.num_rows:
@@ -164,23 +170,25 @@ def _measure(incoming: Iterator[pa.RecordBatch], half: bool) -> Iterator[pa.Reco
         else:
             x, y = (np.array(batch[c].to_pylist(), np.float64) for c in "xy")
             d = np.sqrt(((x - y) ** 2).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([batch["query"], batch["node"], pa.array(d)], schema=schema)
+        out = pa.RecordBatch.from_arrays([batch["query"], batch["node"], pa.array(d)], schema=schema)
+        yield out.filter(pa.array(d <= batch["worst"].to_numpy())) if half else out
 
 
 # --- graph ------------------------------------------------------------------------------
 
 def _nearest_edges(edges: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of each node; Spark limits groups before it shuffles them."""
-    best = edges.groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("old").alias("old"))
+    best = edges.groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("node").orderBy("d", "nbr")
     return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
-def _pointing(graph: DataFrame, n: int, seed: int) -> DataFrame:
-    """(list, node): a sample of ``n`` nodes that have ``list`` among their neighbours."""
-    w = Window.partitionBy("nbr").orderBy(F.xxhash64(F.lit(seed), "node"), "node")
+def _pointing(graph: DataFrame, n: int) -> DataFrame:
+    """(list, node, fresh): a sample of ``n`` nodes that have ``list`` among their neighbours. The order is fixed, so
+    that a node enters a sample by a new edge."""
+    w = Window.partitionBy("nbr").orderBy(F.xxhash64("node"), "node")
     return (graph.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
-            .select(F.col("nbr").alias("list"), "node"))
+            .select(F.col("nbr").alias("list"), "node", "fresh"))
 
 
 def first_graph(nodes: DataFrame, n: int) -> DataFrame:
@@ -192,28 +200,29 @@ def first_graph(nodes: DataFrame, n: int) -> DataFrame:
     group = F.xxhash64("cut", "code", part).alias("group")
     dealt = coded.join(sizes, ["cut", "code"]).select(group, "node", "v")
     edges = (dealt.repartition("group").sortWithinPartitions("group")
-             .mapInArrow(lambda it: _by_group(it, "group", lambda t: _all_in_group(t, NEIGHBOURS)), _EDGE_DDL))
-    return materialize(_nearest_edges(edges.filter("node <> nbr").withColumn("old", F.lit(0)), NEIGHBOURS), "graph")
+             .mapInArrow(lambda it: _by_group(it, "group", lambda t: _all_in_group(t, SENT_PER_GROUP)), _EDGE_DDL))
+    return materialize(_nearest_edges(edges.filter("node <> nbr").withColumn("fresh", F.lit(1)), NEIGHBOURS), "graph")
 
 
 def neighbour_graph(nodes: DataFrame, n: int) -> DataFrame:
     """NN-descent: node, nbr, d (squared)."""
     graph = first_graph(nodes, n)
-    for turn in range(ROUNDS):
+    changed = n * NEIGHBOURS
+    while changed > LEAST_CHANGE * NEIGHBOURS * n:
         bound = graph.groupBy("node").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n"))
         bounded = (nodes.join(bound, "node", "left")
                    .select("node", "v", F.when(F.col("n") >= NEIGHBOURS, F.col("far"))
                            .otherwise(float("inf")).cast("float").alias("bound")))
-        lists = (graph.select(F.col("node").alias("list"), F.col("nbr").alias("node"))
-                 .unionByName(_pointing(graph, REVERSE, turn))
-                 .unionByName(nodes.select(F.col("node").alias("list"), "node")).distinct())
-        joined = lists.join(bounded, "node").select("list", "node", "v", "bound")
+        lists = (graph.select(F.col("node").alias("list"), F.col("nbr").alias("node"), "fresh")
+                 .unionByName(_pointing(graph, REVERSE))
+                 .unionByName(nodes.select(F.col("node").alias("list"), "node", F.lit(0).alias("fresh")))
+                 .groupBy("list", "node").agg(F.max("fresh").alias("fresh")))
+        joined = lists.join(bounded, "node").select("list", "node", "v", "bound", "fresh")
         found = (joined.repartition("list").sortWithinPartitions("list")
                  .mapInArrow(lambda it: _by_group(it, "list", _local_join), _EDGE_DDL))
-        graph = materialize(_nearest_edges(graph.withColumn("old", F.lit(0))
-                                           .unionByName(found.withColumn("old", F.lit(1))), NEIGHBOURS), "graph")
-        if graph.filter("old = 1").count() <= LEAST_CHANGE * NEIGHBOURS * n:
-            break
+        graph = materialize(_nearest_edges(graph.withColumn("fresh", F.lit(0))
+                                           .unionByName(found.withColumn("fresh", F.lit(1))), NEIGHBOURS), "graph")
+        changed = graph.filter("fresh = 1").count()
     return graph
 
 
@@ -225,21 +234,22 @@ def _pools(pools: DataFrame | None, found: DataFrame) -> DataFrame:
         F.struct("d", "node", F.lit(False).alias("expanded"))).alias("new"))
     if pools is None:
         return new.select("query", F.slice(F.array_sort("new"), 1, POOL).alias("pool"))
-    joined = pools.join(new, "query", "left")
-    merged = F.array_sort(F.concat("pool", F.coalesce("new", F.array().cast(new.schema["new"].dataType))))
-    return joined.select("query", F.slice(merged, 1, POOL).alias("pool"))
+    joined = pools.withColumn("known", F.transform("pool", lambda c: c["node"])).join(new, "query", "left")
+    unknown = F.filter(F.coalesce("new", F.array().cast(new.schema["new"].dataType)),
+                       lambda c: ~F.array_contains("known", c["node"]))
+    return joined.select("query", F.slice(F.array_sort(F.concat("pool", unknown)), 1, POOL).alias("pool"))
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """Nearest nodes found: query, pool. queries: query, node (its place in the graph), v."""
     adjacency = materialize(graph.select("node", "nbr").unionByName(
-        _pointing(graph, NEIGHBOURS, 99).withColumnRenamed("node", "nbr").withColumnRenamed("list", "node"))
+        _pointing(graph, NEIGHBOURS).select(F.col("list").alias("node"), F.col("node").alias("nbr")))
         .distinct(), "adjacency")
     vectors = queries.select("query", F.col("v").alias("x"))
 
-    def measured(pairs: DataFrame) -> DataFrame:
-        rows = (pairs.join(nodes, "node").withColumnRenamed("v", "y").join(vectors, "query")
-                .select("query", "node", "x", "y"))
+    def measured(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        rows = (pairs.join(nodes, "node").withColumnRenamed("v", "y").join(asked, "query")
+                .select("query", "node", "x", "y", "worst"))
         return rows.mapInArrow(lambda it: _measure(it, True), "query bigint, node bigint, d double")
 
     entries = (nodes.select("node").filter(F.pmod(F.xxhash64("node"), F.lit(max(1, n // ENTRIES))) == 0)
@@ -248,21 +258,22 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, n: int) -> Da
     starts = [r["node"] for r in entries.collect()]
     begin = queries.select("query", F.explode(F.concat(F.array("node"), F.array(*map(F.lit, starts))
                                                        .cast("array<bigint>"))).alias("node")).distinct()
-    pools = materialize(_pools(None, measured(begin)), "pools")
-    for _ in range(SEARCH_ROUNDS):
+    infinite = F.lit(float("inf"))
+    pools = materialize(_pools(None, measured(begin, vectors.withColumn("worst", infinite))), "pools")
+    while True:
         near = F.slice(F.filter("pool", lambda c: ~c["expanded"]), 1, EXPAND)
-        chosen = pools.withColumn("chosen", F.transform(near, lambda c: c["node"]))
-        steps = chosen.select("query", F.transform("pool", lambda c: c["node"]).alias("known"),
-                              F.explode("chosen").alias("node"))
+        # Nothing beyond the last of a full pool can enter it.
+        worst = F.when(F.size("pool") >= POOL, F.element_at("pool", -1)["d"]).otherwise(infinite)
+        chosen = pools.withColumn("chosen", F.transform(near, lambda c: c["node"])).withColumn("worst", worst)
+        steps = chosen.select("query", F.explode("chosen").alias("node"))
         if steps.isEmpty():
-            break
-        pairs = (steps.join(adjacency, "node").filter(~F.array_contains("known", F.col("nbr")))
-                 .select("query", F.col("nbr").alias("node")).distinct())
+            return pools
+        pairs = steps.join(adjacency, "node").select("query", F.col("nbr").alias("node")).distinct()
         marked = chosen.select("query", F.transform("pool", lambda c: F.struct(
             c["d"].alias("d"), c["node"].alias("node"),
             (c["expanded"] | F.array_contains("chosen", c["node"])).alias("expanded"))).alias("pool"))
-        pools = materialize(_pools(marked, measured(pairs)), "pools")
-    return pools
+        asked = vectors.join(chosen.filter(F.size("chosen") > 0).select("query", "worst"), "query")
+        pools = materialize(_pools(marked, measured(pairs, asked)), "pools")
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
@@ -273,7 +284,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     groups = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"))
     placed = materialize(rows.join(groups, ["h1", "h2"]).select("vec_id", "node", "vec"), "placed")
     exact = placed.filter(F.col("vec_id") == F.col("node")).select("node", "vec")
-    nodes = materialize(exact.mapInArrow(_half_vectors, "node bigint, v binary"), "nodes")
+    largest = F.array_max(F.transform("vec", F.abs))
+    scale = exact.agg(F.percentile_approx(largest, 0.5).alias("m")).first()["m"] or 1.0
+    nodes = materialize(exact.mapInArrow(lambda it: _half_vectors(it, scale), "node bigint, v binary"), "nodes")
     n = nodes.count()
     graph = neighbour_graph(nodes, n)
     asked = placed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "node")

@@ -165,3 +165,28 @@ def test_few_vectors(spark):
     assert rows == [(1, 1), (2, 2), (3, 3), (4, 4)]
     assert N.nearest(table.limit(0)).count() == 0
     assert N.nearest(table.filter("vec_id = 0")).count() == 0
+
+
+def _recall(spark, vectors: np.ndarray) -> float:
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in N.nearest(rows).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, got in found.items():
+        d = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got & set(np.argsort(d)[:10].tolist()))
+    return hits / (10 * len(range(0, len(vectors), 100)))
+
+
+def test_recall_on_spread_vectors(spark):
+    """No clusters: the hardest case. Components of any magnitude give the same graph."""
+    x = np.random.default_rng(3).standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert _recall(spark, x) >= 0.95
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1e9])
+def test_magnitudes(spark, scale):
+    assert _recall(spark, np.random.default_rng(4).standard_normal((700, 16)) * scale) >= 0.99
