@@ -52,6 +52,7 @@ BITS_PER_ENTRY = 12
 PROBES = 4
 BASE = 1.5
 LEVELS = 256
+BATCH_BYTES = str(8 << 20)  # of stored blocks or shards that a worker gets at a time, one row at least
 SCORE_TOKENS = 1 << 18  # tokens whose probabilities are computed at a time
 SHARD_TOKENS, MAX_HOT = 1 << 18, 1 << 16
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
@@ -89,36 +90,36 @@ class _Numbers(dict):
         return n
 
 
-def _block(block: int, rows: list[tuple]) -> pa.RecordBatch:
-    numbers = _Numbers({None: 0})  # the end token
-    docs = [np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)) for _, words in rows]
+def _block(block: int, numbers: _Numbers, rows: list[tuple]) -> pa.RecordBatch:
     hashes = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64,
                          len(numbers))
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    ends = np.zeros(1, np.uint32)
-    flat = np.concatenate([x for d in docs for x in (d, ends)])
+    flat = np.concatenate([d for _, d in rows])
     return pa.RecordBatch.from_arrays(
         [pa.array([block]), pa.array([[i for i, _ in rows]], pa.list_(pa.int64())),
          pa.array([[is_held_out(i) for i, _ in rows]], pa.list_(pa.bool_())),
-         pa.array([[len(d) + 1 for d in docs]], pa.list_(pa.int64())),
+         pa.array([[len(d) for _, d in rows]], pa.list_(pa.int64())),
          pa.array([hashes[order].tobytes()]), pa.array([_pack(rank[flat])])], schema=BLOCKS)
 
 
 def _blocks(incoming: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    first = TaskContext.get().partitionId() << 32
-    rows: list[tuple] = []
-    size = 0
+    block = TaskContext.get().partitionId() << 32
+    numbers, rows, size = _Numbers({None: 0}), [], 0  # number 0 is the end token
     for batch in incoming:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            rows.append((doc_id, tokens(text)))
+        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            text = text.as_py()
+            words = tokens(text)
+            numbered = np.zeros(len(words) + 1, np.uint32)
+            numbered[:-1] = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
+            rows.append((doc_id.as_py(), numbered))
             size += len(text)
             if size >= block_bytes:
-                yield _block(first, rows)
-                first, rows, size = first + 1, [], 0
+                yield _block(block, numbers, rows)
+                block, numbers, rows, size = block + 1, _Numbers({None: 0}), [], 0
     if rows:
-        yield _block(first, rows)
+        yield _block(block, numbers, rows)
 
 
 class Block:
@@ -476,6 +477,7 @@ def score_documents(docs: DataFrame, base: float = BASE, max_bits: int = MAX_BIT
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     context = docs.sparkSession.sparkContext
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     blocks = materialize(ids_and_texts(docs).mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCKS), "lm-blocks")
     trained = F.filter(F.arrays_zip("lengths", "held"), lambda d: ~d["held"])
     total = blocks.agg(F.coalesce(F.sum(F.aggregate(trained, F.lit(0).cast("bigint"), lambda n, d: n + d["lengths"])),
