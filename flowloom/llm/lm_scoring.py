@@ -12,14 +12,16 @@ Jobs:
 
 1. Every task turns its texts into blocks of about ``BLOCK_BYTES``: the block's sorted word hashes and the texts as
    positions in them. The blocks are stored, and everything below works on them.
-2. Words: one row per block and word. Of words that several blocks have, each gets the whole table's counts back.
+2. Words: one row per block and word. Of words that several blocks have, each gets the whole table's counts back. The
+   blocks are stored again with the counts, so that no later job shuffles them.
 3. Bigrams: every block sends its different bigrams with counts, cut into shards by context. Words that fill a shard of
    their own as contexts are cut by the following word instead. The number of shards follows the training tokens.
    Shards sum counts and are stored.
 4. Filter: shards fill segments of it, ``BITS_PER_ENTRY`` bits for each entry. All n-grams of all levels are in it.
 5. Scoring: ``max_bits`` bounds what is broadcast at a time. A larger filter is cut into slices of shards; each slice is
-   broadcast in turn, every block adds up the tokens whose bigrams lie in it, and the last one adds all sums up. A
-   slice costs one pass over the stored blocks, so give ``max_bits`` the memory that a worker can spare.
+   broadcast in turn, and every block adds up the tokens whose bigrams lie in it. Only these sums, one number for each
+   text and slice, are brought together at the end. A slice costs one pass over the stored blocks, so give
+   ``max_bits`` the memory that a worker can spare.
 
 Scores depend neither on ``max_bits`` nor on the partitioning of the table.
 
@@ -321,6 +323,16 @@ def _segments(incoming: Iterator[pa.RecordBatch], hot: np.ndarray, base: float)
                 [pa.array([row["shard"]]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], schema=schema)
 
 
+def unigram(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    return (counts + 0.5) / (total + 0.5 * (distinct + 1))
+
+
+def base_scores(block: Block, counts: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: known tokens, base score. counts: of the block's words over all training texts."""
+    return (np.add.reduceat((counts > 0)[block.tokens].astype(np.int64), block.starts),
+            np.add.reduceat(np.log10(unigram(counts, total, distinct))[block.tokens], block.starts))
+
+
 class Model:
     """A slice of the filter, followers of hot contexts (MAX_HOT at most, read by level like all others), totals."""
 
@@ -329,9 +341,6 @@ class Model:
         self.hot = hot
         self.hot_sizes = np.maximum(1.0, count_at(level_of(np.maximum(hot_sizes, 1), bloom.base), bloom.base))
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-
     def followers(self, words: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> np.ndarray:
         """T(h) of the block's words as far as the slice has it; a context met once has one follower."""
         several = np.flatnonzero((counts > 1) & self.bloom.holds(shards))
@@ -343,16 +352,11 @@ class Model:
             out = np.where(self.hot[at] == words, self.hot_sizes[at], out)
         return np.minimum(out, np.maximum(counts, 1))
 
-    def base_scores(self, block: Block, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: known tokens, base score. counts: of the block's words over all training texts."""
-        return (np.add.reduceat((counts > 0)[block.tokens].astype(np.int64), block.starts),
-                np.add.reduceat(np.log10(self.unigram(counts))[block.tokens], block.starts))
-
     def score(self, block: Block, counts: np.ndarray) -> np.ndarray:
         """Per text: log10 probability of the tokens whose bigrams lie in the slice."""
         shards = (block.words >> np.uint64(64 - self.shard_bits)).astype(np.int64)
         is_hot = np.isin(block.words, self.hot)
-        p1, followers = self.unigram(counts), self.followers(block.words, counts, shards)
+        p1, followers = unigram(counts, self.total, self.distinct), self.followers(block.words, counts, shards)
         contexts, now = block.contexts(), block.tokens
         score = np.zeros(len(now))
         for at in range(0, len(now), SCORE_TOKENS):
@@ -381,44 +385,71 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
                     ("score", pa.float64())])
 _RESULT = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
            "base_score double, score double")
+COUNTED = pa.schema([*BLOCKS, ("counts", pa.binary()), ("firsts", pa.int64()), ("hot", pa.list_(pa.int64()))])
+_COUNTED = f"{_BLOCKS}, counts binary, firsts bigint, hot array<bigint>"
+SUMS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("scores", pa.binary())])
+_SUMS = "block bigint, part int, scores binary"
+
+
+def _with_counts(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the whole table's training counts of their words, in the order of the words."""
+    for batch in incoming:
+        for i in range(batch.num_rows):
+            block = Block(batch, i)
+            counts = np.bincount(block.tokens[block.training()], minlength=len(block.words))
+            others = batch["shared"][i].values  # words that other blocks count, too
+            at = np.searchsorted(block.words, others.field("word").to_numpy().view(np.uint64))
+            counts[at] = others.field("n").to_numpy()
+            row = batch.slice(i, 1)
+            yield pa.RecordBatch.from_arrays(
+                [*(row[f.name].cast(f.type) for f in BLOCKS), pa.array([_pack(counts.astype(np.int64))]), row["firsts"],
+                 row["hot"].cast(pa.list_(pa.int64()))], schema=COUNTED)
 
 
 def _counted(batch: pa.RecordBatch, i: int) -> tuple[Block, np.ndarray]:
     """A block and its words' counts over all training texts."""
-    block = Block(batch, i)
-    counts = np.bincount(block.tokens[block.training()], minlength=len(block.words))
-    others = batch["counts"][i].values  # words that other blocks count, too
-    at = np.searchsorted(block.words, others.field("word").to_numpy().view(np.uint64))
-    counts[at] = others.field("n").to_numpy()
-    return block, counts
+    return Block(batch, i), _unpack(batch["counts"][i].as_py(), np.int64)
 
 
-def _score_slice(incoming: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _score_slice(incoming: Iterator[pa.RecordBatch], shared, part: int) -> Iterator[pa.RecordBatch]:
     """Per block the sums of its texts over one slice."""
-    schema = pa.schema([("block", pa.int64()), ("scores", pa.binary())])
     for batch in incoming:
         for i in range(batch.num_rows):
             scores = shared.value.score(*_counted(batch, i))
-            yield pa.RecordBatch.from_arrays([batch["block"].slice(i, 1), pa.array([scores.tobytes()])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["block"].slice(i, 1), pa.array([part], pa.int32()),
+                                              pa.array([scores.tobytes()])], schema=SUMS)
+
 
+PLAIN = pa.schema([("block", pa.int64()), *((f.name, pa.list_(f.type)) for f in RESULT if f.name not in ("train_tokens", "score"))])
+_PLAIN = ("block bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, "
+          "n_known array<bigint>, base_score array<double>")
 
-def _score_blocks(incoming: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Results of the texts: the last slice's sums and those of the slices before."""
-    model: Model = shared.value
+
+def _base_scores(incoming: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """Per block all of its texts' results but the score."""
     for batch in incoming:
         for i in range(batch.num_rows):
             block, counts = _counted(batch, i)
-            known, base = model.base_scores(block, counts)
-            score = model.score(block, counts)
-            for before in batch["before"][i].as_py():
-                score = score + np.frombuffer(before, np.float64)
+            known, base = base_scores(block, counts, total, distinct)
+            columns = (block.doc_ids, block.held, block.lengths, known, base)
+            yield pa.RecordBatch.from_arrays(
+                [batch["block"].slice(i, 1), *(pa.array([c], f.type) for c, f in zip(columns, list(PLAIN)[1:]))], schema=PLAIN)
+
+
+def _results(incoming: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+    """Results of the texts; the slices' sums are added up in their order."""
+    for batch in incoming:
+        for i in range(batch.num_rows):
+            score = 0.0
+            for part in batch["sums"][i].as_py():
+                score = score + np.frombuffer(part["scores"], np.float64)
+            doc_id, held, n, known, base = (batch[f.name][i].values for f in list(PLAIN)[1:])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.doc_ids, pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(known),
-                 pa.array(np.full(len(known), model.total)), pa.array(base), pa.array(score)], schema=RESULT)
+                [doc_id, held, n, known, pa.array(np.full(len(n), total)), base, pa.array(score)], schema=RESULT)
 
 
 def word_counts(blocks: DataFrame, hot_count: int) -> DataFrame:
-    """Per block the whole table's counts of those of its words that other blocks have as well (``counts``), and of
+    """Per block the whole table's counts of those of its words that other blocks have as well (``shared``), and of
     the training words that it is the first block of their number and those with ``hot_count`` tokens or more."""
     words = blocks.mapInArrow(_word_rows, "block bigint, word bigint, n bigint")
     # A word has one row per block at most, so no word can fill a task.
@@ -426,7 +457,7 @@ def word_counts(blocks: DataFrame, hot_count: int) -> DataFrame:
     seen = words.withColumn("total", F.sum("n").over(whole)).withColumn("first", F.min("block").over(whole))
     is_first = F.col("first") == F.col("block")
     return seen.groupBy("block").agg(
-        F.collect_list(F.when(F.col("total") != F.col("n"), F.struct("word", F.col("total").alias("n")))).alias("counts"),
+        F.collect_list(F.when(F.col("total") != F.col("n"), F.struct("word", F.col("total").alias("n")))).alias("shared"),
         F.count_if(is_first & (F.col("total") > 0)).alias("firsts"),
         F.collect_list(F.when(is_first & (F.col("total") >= hot_count), F.col("word"))).alias("hot"))
 
@@ -482,10 +513,11 @@ def score_documents(docs: DataFrame, base: float = BASE, max_bits: int = MAX_BIT
     trained = F.filter(F.arrays_zip("lengths", "held"), lambda d: ~d["held"])
     total = blocks.agg(F.coalesce(F.sum(F.aggregate(trained, F.lit(0).cast("bigint"), lambda n, d: n + d["lengths"])),
                                   F.lit(0)).alias("n")).first()["n"]
-    counts = materialize(word_counts(blocks, max(SHARD_TOKENS, -(-total // MAX_HOT))), "lm-words")
-    distinct = counts.agg(F.coalesce(F.sum("firsts"), F.lit(0)).alias("n")).first()["n"]
+    shared_words = word_counts(blocks, max(SHARD_TOKENS, -(-total // MAX_HOT)))
+    counted = materialize(blocks.join(shared_words, "block").mapInArrow(_with_counts, _COUNTED), "lm-counted")
+    distinct = counted.agg(F.coalesce(F.sum("firsts"), F.lit(0)).alias("n")).first()["n"]
     # MAX_HOT words at most: each has at least that share of the training tokens.
-    hot = np.sort(np.array([r["hot"] for r in counts.select(F.explode("hot").alias("hot")).collect()],
+    hot = np.sort(np.array([r["hot"] for r in counted.select(F.explode("hot").alias("hot")).collect()],
                            np.int64).view(np.uint64))
 
     bits = max(4, (total // SHARD_TOKENS).bit_length())
@@ -498,18 +530,13 @@ def score_documents(docs: DataFrame, base: float = BASE, max_bits: int = MAX_BIT
         bloom = fill_slice(summed, first, end, hot, base)
         return context.broadcast(Model(bloom, hot, hot_sizes, bits, total, distinct))
 
-    counted = blocks.join(counts.select("block", "counts"), "block")
-    *earlier, last = slices(summed, bits, max_bits)
     sums = []
-    for part in earlier:
-        shared = broadcast(*part)
-        sums.append(materialize(counted.mapInArrow(lambda it, shared=shared: _score_slice(it, shared),
-                                                   "block bigint, scores binary"), "lm-slice"))
+    for part, (first, end) in enumerate(slices(summed, bits, max_bits)):
+        shared = broadcast(first, end)
+        sums.append(materialize(counted.mapInArrow(lambda it, shared=shared, part=part: _score_slice(it, shared, part), _SUMS),
+                                "lm-slice"))
         shared.unpersist()
-    if sums:
-        stored = reduce(DataFrame.unionByName, sums)
-        counted = counted.join(stored.groupBy("block").agg(F.collect_list("scores").alias("before")), "block")
-    else:
-        counted = counted.withColumn("before", F.array().cast("array<binary>"))
-    shared = broadcast(*last)
-    return counted.mapInArrow(lambda it: _score_blocks(it, shared), _RESULT)
+    added = reduce(DataFrame.unionByName, sums).groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("part", "scores"))).alias("sums"))
+    plain = counted.mapInArrow(lambda it: _base_scores(it, total, distinct), _PLAIN)
+    return plain.join(added, "block").mapInArrow(lambda it: _results(it, total), _RESULT)
