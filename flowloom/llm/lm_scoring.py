@@ -48,7 +48,7 @@ from flowloom.llm.near_dedup import mix
 from flowloom.session import materialize
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MAX_BITS = 1 << 29
 BITS_PER_ENTRY = 12
 PROBES = 4
@@ -194,7 +194,10 @@ def _bigrams(incoming: Iterator[pa.RecordBatch], hot: np.ndarray, bits: int) ->
             b = Block(batch, i)
             train = b.training()
             pairs = (b.contexts()[train].astype(np.uint64) << np.uint64(32)) | b.tokens[train]
-            pairs, counts = np.unique(pairs, return_counts=True)
+            pairs.sort()
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, np.int64)
+            counts = np.diff(np.r_[first, len(pairs)])
+            pairs = pairs[first]
             contexts, words = b.words[pairs >> np.uint64(32)], b.words[pairs & np.uint64(0xFFFFFFFF)]
             shards = shard_of(contexts, words, hot, bits)
             order = np.argsort(shards, kind="stable")
@@ -391,19 +394,20 @@ SUMS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("scores", pa.bin
 _SUMS = "block bigint, part int, scores binary"
 
 
-def _with_counts(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the whole table's training counts of their words, in the order of the words."""
-    for batch in incoming:
-        for i in range(batch.num_rows):
-            block = Block(batch, i)
-            counts = np.bincount(block.tokens[block.training()], minlength=len(block.words))
-            others = batch["shared"][i].values  # words that other blocks count, too
-            at = np.searchsorted(block.words, others.field("word").to_numpy().view(np.uint64))
-            counts[at] = others.field("n").to_numpy()
-            row = batch.slice(i, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*(row[f.name].cast(f.type) for f in BLOCKS), pa.array([_pack(counts.astype(np.int64))]), row["firsts"],
-                 row["hot"].cast(pa.list_(pa.int64()))], schema=COUNTED)
+def _with_counts(blocks: pa.Table, shared: pa.Table, hot_count: int) -> pa.Table:
+    """A block with the whole table's training counts of its words, in the order of the words; the number of those
+    that it is the first block to have, and the hot ones among these. shared: words that other blocks count, too."""
+    batch = blocks.combine_chunks()
+    block = Block(batch, 0)
+    counts = np.bincount(block.tokens[block.training()], minlength=len(block.words))
+    is_first = counts > 0
+    at = np.searchsorted(block.words, shared["word"].to_numpy().view(np.uint64))
+    counts[at] = shared["n"].to_numpy() >> 1
+    is_first[at] = shared["n"].to_numpy() & 1 > 0
+    hot = block.words[is_first & (counts >= hot_count)].view(np.int64)
+    return pa.Table.from_arrays(
+        [*(batch[f.name].cast(f.type) for f in BLOCKS), pa.array([_pack(counts.astype(np.int64))]),
+         pa.array([int(is_first.sum())]), pa.array([hot.tolist()], pa.list_(pa.int64()))], schema=COUNTED)
 
 
 def _counted(batch: pa.RecordBatch, i: int) -> tuple[Block, np.ndarray]:
@@ -448,18 +452,22 @@ def _results(incoming: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.Reco
                 [doc_id, held, n, known, pa.array(np.full(len(n), total)), base, pa.array(score)], schema=RESULT)
 
 
-def word_counts(blocks: DataFrame, hot_count: int) -> DataFrame:
-    """Per block the whole table's counts of those of its words that other blocks have as well (``shared``), and of
-    the training words that it is the first block of their number and those with ``hot_count`` tokens or more."""
+def shared_words(blocks: DataFrame) -> DataFrame:
+    """block, word, n of the words that other blocks count as well: n is twice the whole table's training count, plus
+    one in the first block that counts the word."""
     words = blocks.mapInArrow(_word_rows, "block bigint, word bigint, n bigint")
     # A word has one row per block at most, so no word can fill a task.
     whole = Window.partitionBy("word")
-    seen = words.withColumn("total", F.sum("n").over(whole)).withColumn("first", F.min("block").over(whole))
-    is_first = F.col("first") == F.col("block")
-    return seen.groupBy("block").agg(
-        F.collect_list(F.when(F.col("total") != F.col("n"), F.struct("word", F.col("total").alias("n")))).alias("shared"),
-        F.count_if(is_first & (F.col("total") > 0)).alias("firsts"),
-        F.collect_list(F.when(is_first & (F.col("total") >= hot_count), F.col("word"))).alias("hot"))
+    seen = (words.withColumn("total", F.sum("n").over(whole))
+            .withColumn("first", F.min(F.when(F.col("n") > 0, F.col("block"))).over(whole)))
+    coded = 2 * F.col("total") + F.when(F.col("first") == F.col("block"), 1).otherwise(0)
+    return seen.filter("total <> n").select("block", "word", coded.cast("bigint").alias("n"))
+
+
+def with_counts(blocks: DataFrame, hot_count: int) -> DataFrame:
+    """Stored blocks with the counts of their words."""
+    return materialize(blocks.groupBy("block").cogroup(shared_words(blocks).groupBy("block")).applyInArrow(
+        lambda block, shared: _with_counts(block, shared, hot_count), _COUNTED), "lm-counted")
 
 
 def bigram_shards(blocks: DataFrame, hot: np.ndarray, bits: int, base: float) -> DataFrame:
@@ -513,8 +521,7 @@ def score_documents(docs: DataFrame, base: float = BASE, max_bits: int = MAX_BIT
     trained = F.filter(F.arrays_zip("lengths", "held"), lambda d: ~d["held"])
     total = blocks.agg(F.coalesce(F.sum(F.aggregate(trained, F.lit(0).cast("bigint"), lambda n, d: n + d["lengths"])),
                                   F.lit(0)).alias("n")).first()["n"]
-    shared_words = word_counts(blocks, max(SHARD_TOKENS, -(-total // MAX_HOT)))
-    counted = materialize(blocks.join(shared_words, "block").mapInArrow(_with_counts, _COUNTED), "lm-counted")
+    counted = with_counts(blocks, max(SHARD_TOKENS, -(-total // MAX_HOT)))
     distinct = counted.agg(F.coalesce(F.sum("firsts"), F.lit(0)).alias("n")).first()["n"]
     # MAX_HOT words at most: each has at least that share of the training tokens.
     hot = np.sort(np.array([r["hot"] for r in counted.select(F.explode("hot").alias("hot")).collect()],
