@@ -10,8 +10,8 @@ bigram estimate with the add-half unigram estimate, whose counts are exact:
 
 Jobs:
 
-1. Every task turns its texts into blocks of about ``BLOCK_BYTES``: the block's sorted word hashes and the texts as
-   positions in them. The blocks are stored, and everything below works on them.
+1. Every task turns its texts into blocks of about ``BLOCK_BYTES``: the block's word hashes and the texts as
+   numbers of words. The blocks are stored, and everything below works on them.
 2. Words: one row per block and word. Of words that several blocks have, each gets the whole table's counts back. The
    blocks are stored again with the counts, so that no later job shuffles them.
 3. Bigrams: every block sends its different bigrams with counts, cut into shards by context. Words that fill a shard of
@@ -49,7 +49,7 @@ from flowloom.session import materialize
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 8 << 20
-MAX_BITS = 1 << 29
+MAX_BITS = 1 << 28
 BITS_PER_ENTRY = 12
 PROBES = 4
 BASE = 1.5
@@ -84,6 +84,15 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), dtype)
 
 
+def _pack_planes(a: np.ndarray) -> bytes:
+    """32-bit numbers by byte, since the upper bytes are mostly equal."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 # --- blocks -----------------------------------------------------------------------------
 
 class _Numbers(dict):
@@ -95,15 +104,12 @@ class _Numbers(dict):
 def _block(block: int, numbers: _Numbers, rows: list[tuple]) -> pa.RecordBatch:
     hashes = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64,
                          len(numbers))
-    order = np.argsort(hashes)
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
     flat = np.concatenate([d for _, d in rows])
     return pa.RecordBatch.from_arrays(
         [pa.array([block]), pa.array([[i for i, _ in rows]], pa.list_(pa.int64())),
          pa.array([[is_held_out(i) for i, _ in rows]], pa.list_(pa.bool_())),
          pa.array([[len(d) for _, d in rows]], pa.list_(pa.int64())),
-         pa.array([hashes[order].tobytes()]), pa.array([_pack(rank[flat])])], schema=BLOCKS)
+         pa.array([hashes.tobytes()]), pa.array([_pack_planes(flat)])], schema=BLOCKS)
 
 
 def _blocks(incoming: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -125,15 +131,20 @@ def _blocks(incoming: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa
 
 
 class Block:
-    """A stored block in memory."""
+    """A stored block in memory: words sorted, tokens as places among them. Stored words come by first appearance,
+    which gives frequent words small numbers."""
 
     def __init__(self, batch: pa.RecordBatch | pa.Table, i: int):
         at = {c: batch.column(c)[i] for c in ("doc_ids", "held", "lengths", "words", "tokens")}
         self.doc_ids = at["doc_ids"].as_py()
         self.held = np.array(at["held"].as_py(), bool)
         self.lengths = np.array(at["lengths"].as_py(), np.int64)
-        self.words = np.frombuffer(at["words"].as_py(), np.uint64)
-        self.tokens = _unpack(at["tokens"].as_py(), np.uint32)
+        words = np.frombuffer(at["words"].as_py(), np.uint64)
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        self.words = words[order]
+        self.tokens = rank[_unpack_planes(at["tokens"].as_py())]
 
     @property
     def starts(self) -> np.ndarray:
@@ -528,7 +539,7 @@ def score_documents(docs: DataFrame, base: float = BASE, max_bits: int = MAX_BIT
                            np.int64).view(np.uint64))
 
     bits = max(4, (total // SHARD_TOKENS).bit_length())
-    summed = bigram_shards(blocks, hot, bits, base)
+    summed = bigram_shards(counted, hot, bits, base)
     followers = {r["hot"] % (1 << 64): r["n"] for r in summed.select(F.explode(F.arrays_zip("hot", "hot_sizes")).alias("x"))
                  .groupBy("x.hot").agg(F.sum("x.hot_sizes").alias("n")).collect()}
     hot_sizes = np.array([followers.get(int(h), 0) for h in hot], np.int64)
