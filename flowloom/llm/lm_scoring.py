@@ -48,7 +48,7 @@ from flowloom.llm.near_dedup import mix
 from flowloom.session import materialize
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 MAX_BITS = 1 << 28
 BITS_PER_ENTRY = 12
 PROBES = 4
@@ -163,7 +163,7 @@ class Block:
 
 # --- words ------------------------------------------------------------------------------
 
-WORD_ROWS = pa.schema([("block", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+WORD_ROWS = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
 
 
 def _word_rows(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,8 @@ def _word_rows(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = Block(batch, i)
             n = np.bincount(b.tokens[b.training()], minlength=len(b.words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), batch["block"][i].as_py())), pa.array(b.words.view(np.int64)), pa.array(n)],
+                [pa.array(np.full(len(n), batch["block"][i].as_py())), pa.array(np.arange(len(n), dtype=np.int32)),
+                 pa.array(b.words.view(np.int64)), pa.array(n)],
                 schema=WORD_ROWS)
 
 
@@ -412,7 +413,7 @@ def _with_counts(blocks: pa.Table, shared: pa.Table, hot_count: int) -> pa.Table
     block = Block(batch, 0)
     counts = np.bincount(block.tokens[block.training()], minlength=len(block.words))
     is_first = counts > 0
-    at = np.searchsorted(block.words, shared["word"].to_numpy().view(np.uint64))
+    at = shared["at"].to_numpy()
     counts[at] = shared["n"].to_numpy() >> 1
     is_first[at] = shared["n"].to_numpy() & 1 > 0
     hot = block.words[is_first & (counts >= hot_count)].view(np.int64)
@@ -464,15 +465,15 @@ def _results(incoming: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.Reco
 
 
 def shared_words(blocks: DataFrame) -> DataFrame:
-    """block, word, n of the words that other blocks count as well: n is twice the whole table's training count, plus
+    """block, at (place among the block's words), n of the words that other blocks count as well: n is twice the whole table's training count, plus
     one in the first block that counts the word."""
-    words = blocks.mapInArrow(_word_rows, "block bigint, word bigint, n bigint")
+    words = blocks.mapInArrow(_word_rows, "block bigint, at int, word bigint, n bigint")
     # A word has one row per block at most, so no word can fill a task.
     whole = Window.partitionBy("word")
     seen = (words.withColumn("total", F.sum("n").over(whole))
             .withColumn("first", F.min(F.when(F.col("n") > 0, F.col("block"))).over(whole)))
     coded = 2 * F.col("total") + F.when(F.col("first") == F.col("block"), 1).otherwise(0)
-    return seen.filter("total <> n").select("block", "word", coded.cast("bigint").alias("n"))
+    return seen.filter("total <> n").select("block", "at", coded.cast("bigint").alias("n"))
 
 
 def with_counts(blocks: DataFrame, hot_count: int) -> DataFrame:
@@ -481,6 +482,15 @@ def with_counts(blocks: DataFrame, hot_count: int) -> DataFrame:
         lambda block, shared: _with_counts(block, shared, hot_count), _COUNTED), "lm-counted")
 
 
+def drop_stored(table: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    conf = table.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def bigram_shards(blocks: DataFrame, hot: np.ndarray, bits: int, base: float) -> DataFrame:
     """Stored sums of bigrams, one row per shard."""
     sharded = blocks.mapInArrow(lambda it: _bigrams(it, hot, bits), _SHARDS)
@@ -533,6 +543,7 @@ def score_documents(docs: DataFrame, base: float = BASE, max_bits: int = MAX_BIT
     total = blocks.agg(F.coalesce(F.sum(F.aggregate(trained, F.lit(0).cast("bigint"), lambda n, d: n + d["lengths"])),
                                   F.lit(0)).alias("n")).first()["n"]
     counted = with_counts(blocks, max(SHARD_TOKENS, -(-total // MAX_HOT)))
+    drop_stored(blocks)  # the counted ones hold all of it
     distinct = counted.agg(F.coalesce(F.sum("firsts"), F.lit(0)).alias("n")).first()["n"]
     # MAX_HOT words at most: each has at least that share of the training tokens.
     hot = np.sort(np.array([r["hot"] for r in counted.select(F.explode("hot").alias("hot")).collect()],
