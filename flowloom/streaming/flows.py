@@ -5,10 +5,15 @@ has left before (``slim``) or is kept only for packets inside the cap. A packet
 passed it: nothing earlier can follow, since rows at or behind the watermark of the batch before are dropped as late
 (and counted in the query's ``numRowsDroppedByWatermark``). So results do not depend on how packets are dealt over
 micro-batches, as long as they come inside the lateness and a flow does not outlive its state.
+
+State is kept per shard: flows are dealt by a hash of their key, and a micro-batch reads and writes the shards that it
+touches. The shards should follow the flows that are in state at a time, some thousands of packets each: fewer cost
+longer values, more cost calls of the state store.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -22,111 +27,151 @@ from flowloom.functions import signatures as G
 # Event time in milliseconds, as timers count it.
 TIME = "_ms"
 TIES = ["flags", "ttl", "payload_len"]
+# Shards of a stream's flows, and of one window's.
+SHARDS, WINDOW_SHARDS = 256, 16
 
 
 class FirstPackets(StatefulProcessor):
-    """State shared by both operators: the earliest packets of a key, in order, at most ``cap`` of them.
+    """State shared by both operators: the flows of one shard and of each its earliest packets, at most ``cap`` of them.
 
-    ``schema`` has the stored columns, ``order`` those that give the order; ``out`` names the result's columns.
+    ``key`` tells a shard's flows apart, ``columns`` are stored per packet, ``order`` gives their order; ``out`` names
+    the result's columns. A flow is a list that ends with its waiting packets. All flows of a shard are one stored value
+    with one timer, the earliest of theirs, so calls of the state store follow the shards and not the flows.
     """
 
-    def __init__(self, schema: T.StructType, order: list[str], cap: int, out: list[str]):
-        self.schema, self.cap, self.out = schema, cap, out
-        self.columns = schema.fieldNames()
-        self.order = [self.columns.index(c) for c in order]
+    def __init__(self, key: list[str], columns: list[str], order: list[str], cap: int, out: list[str]):
+        self.key, self.columns, self.cap, self.out = key, columns, cap, out
+        self.order = [columns.index(c) for c in order]
+        self.time = columns.index(TIME)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.marks = handle.getValueState("marks", "n BIGINT, last BIGINT")
+        self.kept = handle.getValueState("flows", "due BIGINT, flows BINARY")
+        self.row = Row(*self.out)
 
     def rank(self, packet: tuple) -> tuple:
         return tuple((packet[i] is not None, packet[i]) for i in self.order)
 
-    def add(self, rows: Iterator[Row], room: int) -> tuple[list[tuple], int, int]:
-        """Waiting packets with ``rows`` among them, their number and their latest time."""
-        packets = [tuple(r) for r in self.waiting.get()] if room else []
-        new, last, n = [], 0, 0
+    def load(self) -> tuple[int | None, dict[tuple, list]]:
+        kept = self.kept.get()
+        return (kept[0], pickle.loads(kept[1])) if kept else (None, {})
+
+    def store(self, flows: dict[tuple, list], due: int | None) -> None:
+        if flows:
+            self.kept.update((due, pickle.dumps(flows, 5)))
+        else:
+            self.kept.clear()
+
+    def add(self, rows: Iterator[Row], flows: dict[tuple, list]) -> set[tuple]:
+        """Put ``rows`` among the waiting packets of their flows; returns the keys of these flows."""
+        touched, key, stored = set(), None, None
         for r in rows:
-            n += 1
-            last = max(last, r[TIME])
-            if room:
-                new.append(tuple(r[c] for c in self.columns))
-                if len(new) > 64 * self.cap:  # a long batch of one flow is cut on the way
-                    new = sorted(new, key=self.rank)[:room]
-        return sorted(packets + new, key=self.rank)[:room], n, last
-
-    def store(self, packets: list[tuple]) -> None:
-        if packets:
-            self.waiting.put(packets)
-        elif self.waiting.exists():
-            self.waiting.clear()
+            if key is None:
+                key, stored = ([r.__fields__.index(c) for c in names] for names in (self.key, self.columns))
+            values = tuple(r)
+            k, packet = tuple(values[i] for i in key), tuple(values[i] for i in stored)
+            flow = flows.get(k)
+            if flow is None:
+                flow = flows[k] = self.new()
+            touched.add(k)
+            room, waiting = self.room(flow, packet), flow[-1]
+            if room > 0:
+                waiting.append(packet)
+                if len(waiting) > 64 * self.cap:  # a long batch of one flow is cut on the way
+                    waiting.sort(key=self.rank)
+                    del waiting[room:]
+        for k in touched:
+            waiting = flows[k][-1]
+            waiting.sort(key=self.rank)
+            del waiting[self.cap:]
+        return touched
 
     def close(self) -> None:
         pass
 
 
 class Indexer(FirstPackets):
-    """Gives settled packets their index; a key that stays quiet for ``idle`` milliseconds is forgotten."""
+    """Gives settled packets their index; a flow that stays quiet for ``idle`` milliseconds is forgotten. A flow is
+    [indexes given, latest time, waiting packets]."""
 
-    def __init__(self, schema: T.StructType, order: list[str], cap: int, out: list[str], idle: int):
-        super().__init__(schema, order, cap, out)
+    def __init__(self, key: list[str], columns: list[str], order: list[str], cap: int, out: list[str], idle: int):
+        super().__init__(key, columns, order, cap, out)
         self.idle = idle
-        self.time = self.columns.index(TIME)
 
-    def _marks(self) -> tuple[int, int]:
-        return tuple(self.marks.get()) if self.marks.exists() else (0, 0)
+    def new(self) -> list:
+        return [0, 0, []]
+
+    def room(self, flow: list, packet: tuple) -> int:
+        flow[1] = max(flow[1], packet[self.time])
+        return self.cap - flow[0]
+
+    def due(self, flow: list) -> int:
+        given, last, waiting = flow
+        return min(waiting[0][self.time], last + self.idle) if waiting else last + self.idle
 
     def handleInputRows(self, key, rows, timerValues):
-        given, seen = self._marks()
-        packets, _, last = self.add(rows, self.cap - given)
-        self.store(packets)
-        last = max(seen, last)
-        self.marks.update((given, last))
-        if packets:
-            self.handle.registerTimer(packets[0][self.time])
-        if last != seen:
-            if seen:
-                self.handle.deleteTimer(seen + self.idle)
-            self.handle.registerTimer(last + self.idle)
+        before, flows = self.load()
+        touched = self.add(rows, flows)
+        for k in touched:
+            given, _, waiting = flows[k]
+            del waiting[self.cap - given:]
+        first = min(self.due(flows[k]) for k in touched)
+        due = first if before is None else min(before, first)
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        self.store(flows, due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        given, last = self._marks()
-        packets = [tuple(r) for r in self.waiting.get()]
-        ready = [p for p in packets if p[self.time] <= mark]
-        rest = packets[len(ready):]
-        for i, p in enumerate(ready):
-            yield Row(*self.out)(*key, *p, given + i)
-        if not rest and last + self.idle <= mark:
-            self.waiting.clear()
-            self.marks.clear()
-            return
-        self.store(rest)
-        self.marks.update((given + len(ready), last))
-        if rest:
-            self.handle.registerTimer(rest[0][self.time])
+        _, flows = self.load()
+        kept, due = {}, None
+        for k, flow in flows.items():
+            given, last, waiting = flow
+            ready = [p for p in waiting if p[self.time] <= mark]
+            for i, p in enumerate(ready):
+                yield self.row(*k, *p, given + i)
+            rest = waiting[len(ready):]
+            if rest or last + self.idle > mark:
+                kept[k] = flow = [given + len(ready), last, rest]
+                # With packets waiting a flow outlives its last time: the next thing to happen is the first of them.
+                at = rest[0][self.time] if rest else last + self.idle
+                due = at if due is None else min(due, at)
+        if due is not None:
+            self.handle.registerTimer(due)
+        self.store(kept, due)
 
 
 class Windower(FirstPackets):
-    """Counts a window's packets of a flow and gives them out with the earliest ones when the window has ended."""
+    """Counts a window's packets of a flow and gives them out with the earliest ones when the window has ended. A flow
+    is [packets, waiting packets]; a shard belongs to one window."""
+
+    def new(self) -> list:
+        return [0, []]
+
+    def room(self, flow: list, packet: tuple) -> int:
+        flow[0] += 1
+        return self.cap
 
     def handleInputRows(self, key, rows, timerValues):
-        n, end = tuple(self.marks.get()) if self.marks.exists() else (0, key[0])
-        packets, more, _ = self.add(rows, self.cap)
-        self.store(packets)
-        self.marks.update((n + more, end))
-        if not n:
-            self.handle.registerTimer(end)
+        before, flows = self.load()
+        self.add(rows, flows)
+        if before is None:
+            self.handle.registerTimer(key[0])
+        self.store(flows, key[0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        n, _ = tuple(self.marks.get())
-        packets = [dict(zip(self.columns, tuple(r))) for r in self.waiting.get()]
-        self.waiting.clear()
-        self.marks.clear()
-        yield Row(*self.out)(*key, n, packets)
+        _, flows = self.load()
+        self.kept.clear()
+        for k, (n, waiting) in flows.items():
+            yield self.row(key[0], *k, n, [dict(zip(self.columns, p)) for p in waiting])
+
+
+def _shard(key: list[str], shards: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int")
 
 
 def _timed(packets: DataFrame, late: str) -> DataFrame:
@@ -134,18 +179,21 @@ def _timed(packets: DataFrame, late: str) -> DataFrame:
 
 
 def packet_index(packets: DataFrame, key: list[str] | None = None, order: list[str] | None = None,
-                 max_packets: int = S.MAX_PACKETS_PER_FLOW, late: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
+                 max_packets: int = S.MAX_PACKETS_PER_FLOW, late: str = "1 minute", idle_ms: int = 3_600_000,
+                 shards: int = SHARDS) -> DataFrame:
     """The streaming form of ``operators.flows.packet_index``; needs ``ts``, which must not run against ``order``.
 
     A packet comes out, with its 0-based index, once the watermark has passed it; packets beyond the cap never do. A
     flow loses its state when the watermark is ``idle_ms`` past its last packet, and what follows starts a new flow.
+    ``shards`` can't be changed once a stream has started.
     """
     key = key or S.FLOW_KEY
     timed = _timed(packets, late)
     stored = T.StructType([f for f in timed.schema if f.name not in key])
     out = T.StructType([timed.schema[c] for c in key] + stored.fields + [T.StructField("packet_index", T.IntegerType())])
-    processor = Indexer(stored, [TIME, *(order or ["arrival"])], max_packets, out.fieldNames(), idle_ms)
-    return timed.groupBy(*key).transformWithState(processor, out, "Append", "EventTime").drop(TIME)
+    processor = Indexer(key, stored.fieldNames(), [TIME, *(order or ["arrival"])], max_packets, out.fieldNames(), idle_ms)
+    return (timed.withColumn("_shard", _shard(key, shards)).groupBy("_shard")
+            .transformWithState(processor, out, "Append", "EventTime").drop(TIME))
 
 
 def window_end(width: str) -> Column:
@@ -153,10 +201,11 @@ def window_end(width: str) -> Column:
 
 
 def flow_windows(packets: DataFrame, width: str = "1 minute", late: str = "1 minute",
-                 max_packets: int = S.MAX_PACKETS_PER_FLOW, registry: dict[int, G.Signature] | None = None) -> DataFrame:
+                 max_packets: int = S.MAX_PACKETS_PER_FLOW, registry: dict[int, G.Signature] | None = None,
+                 shards: int = WINDOW_SHARDS) -> DataFrame:
     """One row per flow and window of ``width``: end, FLOW_KEY, packets (all of them), and the flow columns of
     ``operators.flows.summarize_flows`` over the window's first packets. A row comes out once the watermark has passed
-    the window; windows stand for captures from here on."""
+    the window; windows stand for captures from here on. ``shards`` are those of one window."""
     from flowloom.operators.flows import slim
 
     slimmed = slim(packets, registry)
@@ -166,8 +215,9 @@ def flow_windows(packets: DataFrame, width: str = "1 minute", late: str = "1 min
     key = ["_end", *S.FLOW_KEY]
     out = T.StructType([timed.schema[c] for c in key] + [
         T.StructField("packets", T.LongType()), T.StructField("firsts", T.ArrayType(stored))])
-    processor = Windower(stored, ["arrival", *TIES], max_packets, out.fieldNames())
-    rows = timed.groupBy(*key).transformWithState(processor, out, "Append", "EventTime")
+    processor = Windower(S.FLOW_KEY, stored.fieldNames(), ["arrival", *TIES], max_packets, out.fieldNames())
+    rows = (timed.withColumn("_shard", _shard(S.FLOW_KEY, shards)).groupBy("_end", "_shard")
+            .transformWithState(processor, out, "Append", "EventTime"))
     return summarize_firsts(rows.withColumn("end", F.timestamp_millis("_end")).drop("_end"))
 
 

@@ -67,6 +67,50 @@ def test_late_packets_are_dropped_and_quiet_flows_forgotten(spark):
     assert sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"]) == 1
 
 
+def _run(stream, label, partitions=2):
+    """Result folder and progress of a stream run to its end."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, label)
+    with state_settings(spark, partitions):
+        query = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, f"{label}-state"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    return spark.read.parquet(out), query.recentProgress
+
+
+def test_state_rows_follow_the_shards_and_not_the_flows(spark):
+    """One state row per flow cost a dozen calls of the state store for each flow of a micro-batch."""
+    rows = [packet(i, sport=1000 + i % 300, dport=None if i % 300 == 7 else 80, payload=b"x" * (i % 5)) for i in range(1500)]
+    rows += [packet(2000 + i, flags="S") for i in range(100)]  # and one flow of many packets
+    at = [r[1] for r in rows]
+    random.Random(4).shuffle(at)
+    path, schema = _timed(spark, rows, [at[:800], at[800:]])
+    columns = [*S.FLOW_KEY, "arrival", "payload", "packet_index"]
+    got, progress = _run(SF.packet_index(_stream(spark, path, schema), late="2 hours", shards=3), "t-shards")
+    want = A.packet_index(packets(spark, rows))
+    text = F.to_json(F.struct(*columns))
+    assert (sorted(r.t for r in got.filter("src <> 'end'").select(text.alias("t")).collect())
+            == sorted(r.t for r in want.select(text.alias("t")).collect()))
+    assert 0 < max(o["numRowsTotal"] for p in progress for o in p["stateOperators"]) < 20
+
+    stream = _stream(spark, path, schema).withColumn("capture", F.lit("c"))
+    got, progress = _run(SF.flow_windows(stream, "10 hours", "2 hours", shards=3), "t-window-shards")
+    counts = packets(spark, rows).groupBy(*S.FLOW_KEY).count()
+    assert (sorted(str(tuple(r)) for r in got.filter("src <> 'end'").select(*S.FLOW_KEY, "packets").collect())
+            == sorted(str(tuple(r)) for r in counts.collect()))
+    assert got.filter("packets = 100").first()["n_packets"] == 16
+    assert 0 < max(o["numRowsTotal"] for p in progress for o in p["stateOperators"]) < 30
+
+
+def test_flows_of_one_shard_expire_on_their_own(spark):
+    rows = [packet(i) for i in (10, 500, 9000)] + [packet(i, src="other") for i in (12, 700, 1400, 2100, 2800, 9001)]
+    path, schema = _timed(spark, rows, [[10, 12], [500], [700], [1400], [2100], [2800], [9000, 9001]])
+    got, _ = _run(SF.packet_index(_stream(spark, path, schema), late="60 seconds", idle_ms=1_000_000, shards=1), "t-expire", 1)
+    found = sorted((r.src, r.arrival, r.packet_index) for r in got.filter("src <> 'end'").collect())
+    assert found == [("10.0.0.5", 10, 0), ("10.0.0.5", 500, 1), ("10.0.0.5", 9000, 0),
+                     *[("other", a, i) for i, a in enumerate((12, 700, 1400, 2100, 2800))], ("other", 9001, 5)]
+
+
 @pytest.mark.parametrize("make", [C.source_windows, C.target_windows])
 def test_exact_contexts_take_two_steps(spark, make):
     rows = _hot(400)
