@@ -251,16 +251,23 @@ def index_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTE
     return files.mapInPandas(walk, INDEX_SCHEMA)
 
 
-# Chunks that one task reads: with chunks of bounded length that bounds a task's bytes.
+# What one task reads: a few chunks of full length, or many small ones with the same bytes on average.
 CHUNKS_PER_TASK = 4
+TASK_BYTES = CHUNKS_PER_TASK * CHUNK_BYTES
+SMALL_BYTES, SMALL_CHUNKS_PER_TASK = 1 << 20, 1024
 
 
-def read_frames(index: DataFrame, batch_rows: int = 4096, chunks_per_task: int = CHUNKS_PER_TASK) -> DataFrame:
+def _deal(chunks: DataFrame, n: int, tasks: int) -> DataFrame:
+    return chunks.repartition(max(tasks, min(n, chunks.sparkSession.sparkContext.defaultParallelism), 1))
+
+
+def read_frames(index: DataFrame, batch_rows: int = 4096, chunks_per_task: int | None = None) -> DataFrame:
     """Frames of indexed chunks, each chunk on its own wherever it lands. Pass a stored index: it is counted.
 
-    The number of tasks follows the chunks, so it grows with the captures' bytes; few chunks get a task each. It is set
-    here because index rows are tiny: a partition count left to the runtime would be merged down to one. Chunks are dealt
-    one by one, so no task gets more than its share.
+    The number of tasks follows the captures' bytes; few chunks get a task each. It is set here because index rows are
+    tiny: a partition count left to the runtime would be merged down to one. Chunks are dealt one by one, those below
+    ``SMALL_BYTES`` apart from the others: a folder of small files is read by few tasks, and no task gets more than
+    ``CHUNKS_PER_TASK`` of the others. ``chunks_per_task`` deals all alike instead.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,10 +276,20 @@ def read_frames(index: DataFrame, batch_rows: int = 4096, chunks_per_task: int =
                     yield from _frame_batches(f, row, batch_rows)
 
     good = index.filter(F.col("error").isNull())
-    chunks = good.count()
-    cores = index.sparkSession.sparkContext.defaultParallelism
-    tasks = max(-(-chunks // chunks_per_task), min(chunks, cores), 1)
-    return good.repartition(tasks).mapInArrow(read, FRAME_SCHEMA)
+    if chunks_per_task:
+        chunks = good.count()
+        dealt = _deal(good, chunks, -(-chunks // chunks_per_task))
+    else:
+        size = F.col("stop") - F.col("start")
+        small = size < SMALL_BYTES
+        found = good.agg(F.count_if(small).alias("small"), F.count_if(~small).alias("large"),
+                         F.coalesce(F.sum(F.when(small, size)), F.lit(0)).alias("small_bytes")).first()
+        tasks = max(-(-found["small"] // SMALL_CHUNKS_PER_TASK), -(-found["small_bytes"] // TASK_BYTES))
+        dealt = _deal(good.filter(small), found["small"], tasks)
+        if found["large"]:
+            large = _deal(good.filter(~small), found["large"], -(-found["large"] // CHUNKS_PER_TASK))
+            dealt = dealt.unionByName(large) if found["small"] else large
+    return dealt.mapInArrow(read, FRAME_SCHEMA)
 
 
 def capture_errors(index: DataFrame) -> DataFrame:

@@ -99,6 +99,25 @@ def test_capture_tasks_follow_the_chunks(spark, tmp_path):
     assert CP.read_frames(index.filter('chunk = 0'), chunks_per_task=100).rdd.getNumPartitions() == 6
 
 
+def test_small_captures_share_tasks(spark, tmp_path, monkeypatch):
+    """A task for every four chunks of any length was mostly the cost of starting tasks."""
+    monkeypatch.setattr(CP, "SMALL_BYTES", 1000)
+    for i in range(30):
+        (tmp_path / f"{i}.pcap").write_bytes(pcap([ipv4(6, tcp(b"x" * 100)) for _ in range(40)]))
+    small = CP.index_captures(spark, str(tmp_path), chunk_bytes=500).cache()
+    assert small.count() == 300
+    frames = CP.read_frames(small)
+    assert frames.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert frames.count() == frames.select("capture", "frame_no").distinct().count() == 1200
+    large = CP.index_captures(spark, str(tmp_path), chunk_bytes=2500).cache()
+    n = large.filter("stop - start >= 1000").count()
+    rest = large.count() - n
+    frames = CP.read_frames(large)
+    assert (n, rest) == (60, 30) and frames.rdd.getNumPartitions() == -(-n // CP.CHUNKS_PER_TASK) + min(rest, spark.sparkContext.defaultParallelism)
+    assert frames.count() == frames.select("capture", "frame_no").distinct().count() == 1200
+    assert CP.read_frames(small.filter("chunk < 0")).count() == 0
+
+
 def test_parts_of_running_sums_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(R, "PART_ROWS", 100)
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), "id", F.lit(2).alias("x"))
