@@ -104,9 +104,22 @@ def score_with(flows: DataFrame, keys: list[str], scorer: Callable[[pd.DataFrame
     return flows.mapInPandas(run, f"{fields}, score DOUBLE")
 
 
+# Rows of a training task: trees keep the task's rows in memory as objects and read them again in every pass.
+TRAIN_ROWS = 250_000
+
+
+def spread_rows(rows: DataFrame) -> DataFrame:
+    """The rows in tasks of ``TRAIN_ROWS`` at most, a number of them that fills the cores, where one task per core would
+    get more; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    turns = -(-rows.count() // (TRAIN_ROWS * cores))
+    return rows.repartition(turns * cores) if turns > 1 else rows
+
+
 def ceiling_probe(train: DataFrame, test: DataFrame, features: list[str], few: list[str],
                   max_iter: int = 10) -> DataFrame:
     """How much the features can tell: trees on all of them, on few, and the majority class."""
+    train = spread_rows(train)
     out = []
     for name, columns in (("all_features", features), ("few_features", few)):
         model = Pipeline(stages=[

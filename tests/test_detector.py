@@ -67,3 +67,22 @@ def test_labelled_csv(spark):
     assert all(r["headers"] == [r["proto_id"], 1, 1, r["npkts"], 0] for r in rows)
     # Ids come from the training table; an unseen protocol gets the next one.
     assert sorted(r["proto_id"] for r in held.collect()) == [1, 2]
+
+
+def test_training_tasks_of_the_probe_follow_the_rows(spark, monkeypatch):
+    """With a task per core a task's cached rows grew with the table."""
+    rows = spark.range(5000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.col("id") % 3).alias("a"),
+                                    (F.col("id") % 7).alias("b")).repartition(8)
+    largest = []
+
+    class Seen(D.Pipeline):
+        def fit(self, dataset, params=None):
+            largest.append(dataset.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(D, "Pipeline", Seen)
+    as_is = D.ceiling_probe(rows, rows, ["a", "b"], ["b"], max_iter=2).collect()
+    monkeypatch.setattr(D, "TRAIN_ROWS", 100)
+    spread = D.ceiling_probe(rows, rows, ["a", "b"], ["b"], max_iter=2).collect()
+    assert min(largest[:2]) >= 600 and max(largest[2:]) <= 100 + 8
+    assert sorted(spread) == sorted(as_is) and spread[0]["n"] == 5000
